@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from lodestone.llm.decontam import OP4_SQL, op4_decontamination
 from lodestone.llm.simhash import op10_simhash
 
 
 def queries() -> dict:
-    return {"op10_simhash": op10_simhash}
+    return {"op4_decontamination": op4_decontamination, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
