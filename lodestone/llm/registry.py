@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bpe import op3_bpe
 from lodestone.llm.decontam import OP4_SQL, op4_decontamination
 from lodestone.llm.simhash import op10_simhash
 
 
 def queries() -> dict:
-    return {"op4_decontamination": op4_decontamination, "op10_simhash": op10_simhash}
+    return {"op3_bpe": op3_bpe, "op4_decontamination": op4_decontamination, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op3_bpe": op3_bpe, "op4_decontamination": OP4_SQL}
