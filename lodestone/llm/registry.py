@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from lodestone.llm.bpe import op3_bpe
 from lodestone.llm.decontam import OP4_SQL, op4_decontamination
+from lodestone.llm.itq import OP7_SQL, op7_embeddings
 from lodestone.llm.simhash import op10_simhash
+from lodestone.llm.toxicity import op9_toxicity
+from lodestone.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe, "op4_decontamination": op4_decontamination, "op10_simhash": op10_simhash}
+    return {
+        "op3_bpe": op3_bpe,
+        "op4_decontamination": op4_decontamination,
+        "op6_warc": op6_warc,
+        "op7_embeddings": op7_embeddings,
+        "op9_toxicity": op9_toxicity,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bpe": op3_bpe, "op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op7_embeddings": OP7_SQL}
