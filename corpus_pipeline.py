@@ -3,21 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import simhash
+from lodestone.llm import bpe, decontam, pii, simhash
+from lodestone.llm import toxicity as toxic
 from lodestone.llm.common import Scratch, read_table
 
 
+def _recount(docs: DataFrame) -> DataFrame:
+    """n_chars of texts that a stage has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches their language's threshold go."""
+    return toxic.keep_clean(spark, docs, toxic.fit(spark, docs, read_table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(spark, docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items go, and documents that consist of little else."""
+    return _recount(decontam.contamination(spark, docs, read_table(spark, sf_dir, "benchmark"), cut=True))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates take the place of personal data."""
+    return _recount(pii.pseudonymise(spark, docs, counted=False))
+
+
+def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and decoded text, and the ids."""
+    return bpe.tokens(spark, docs, bpe.vocabulary_path(), with_ids=True)
+
+
 STAGES = [
-    ("simhash", near_duplicates),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("tokenisation", tokenisation),
 ]
 
-#: Training and hashing stages are beyond SQL; tests compare run() with a brute-force version.
+#: Trained and hashing stages are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -26,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
