@@ -79,10 +79,13 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed_column(text: Column) -> Column:
+    """NFC of a column. Only texts that it could change go to Python; of others, nulls do."""
+    return F.coalesce(_nfc(F.when(text.rlike(_UNSURE), text)), text)
+
+
 def normal_column(text: Column) -> Column:
-    """normalize() of a column. Only texts that NFC could change go to Python; of others, nulls do."""
-    composed = F.coalesce(_nfc(F.when(text.rlike(_UNSURE), text)), text)
-    return F.translate(F.lower(composed), "’‘", "''")
+    return F.translate(F.lower(composed_column(text)), "’‘", "''")
 
 
 def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:

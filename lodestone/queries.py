@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import oracles as O
+from lodestone.functions import cleaning as C
 from lodestone.functions.stemming import stem_column
 from lodestone.functions.tokens import term_table, token_table
 from lodestone.operators import evaluation as E
@@ -14,6 +15,7 @@ from lodestone.operators import presentation as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import suggest as S
 from lodestone.plans.query import parse
+from lodestone.sources import records as X
 
 # What the invented prose of the documents has: frequent words, and a phrase that many share.
 ALL_OF = "er re ou"
@@ -324,3 +326,138 @@ def param_sweep(spark, sf_dir):
 def latency_percentile(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").limit(50)
     return rows.agg(E.percentile("value", 0.5).alias("p50"), E.percentile("value", 0.95).alias("p95"), E.percentile("value", 0.001).alias("p01"))
+
+
+# Pages, listings and records. The tables hold no court pages, so these are written around their rows.
+
+
+@query()
+def html_clean(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", X.page_text("html").alias("text"))
+
+
+@query()
+def page_links(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.posexplode(X.page_links("html")).alias("pos", "href"))
+
+
+@query("SELECT doc_id, replace(regexp_replace(upper(left(text, 200)), '[\\s\\x{00A0}]+', '', 'g'), 'ẞ', 'SS') AS squashed FROM documents")
+def squash_text(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", C.squash_column(F.left("text", F.lit(200))).alias("squashed"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS found FROM orders""")
+def parse_dates(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kind, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Manila, "), F.date_format(day, "MMMM d, yyyy"), F.lit(". May 5, 2020")))
+        .when(kind == 1, F.upper(F.date_format(day, "MMMM d yyyy"))).when(kind == 2, F.concat(F.lit("on "), F.date_format(day, "MMMM  dd,yyyy")))
+        .otherwise(F.lit("February 30, 2011"))
+    )
+    return rows.select("o_orderkey", C.date_column(text).alias("found"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'G.R. Nos. ' || doc_id || '-95|A.C. No. 9218' ELSE 'g.r. no. 1' || doc_id END AS dockets FROM documents""")
+def citations_extract(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    number = F.col("doc_id").cast("string")
+    text = F.when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("See G.R. Nos. "), number, F.lit("-95. and A.C. No. 9218; G.R. Nos. "), number, F.lit("-95, A.M. No. RTJ-19-2552"))
+    ).otherwise(F.concat(F.lit("x g.r. no. 1"), number, F.lit("; none"))).alias("t")
+    return rows.select("doc_id", F.array_join(C.citations_column(text), "|").alias("dockets"))
+
+
+@query("SELECT doc_id, 'Case ' || doc_id || ' v. State' AS caption FROM documents")
+def strip_opinion_tail(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" v. State ,;  Concurring and Dissenting Opinion Justice X"))
+    return rows.select("doc_id", C.without_tail_column(text).alias("caption"))
+
+
+@query(
+    f"""WITH {O.CASES}, n AS (SELECT count(*) AS total, count(*) FILTER (regexp_matches(coalesce(body, ''), '\\S')) AS body, count(division) AS division, count(ponente) AS ponente FROM cases)
+SELECT field, required, present, total, CASE WHEN total > 0 THEN round(present / total * 100, 6) ELSE 0.0 END AS percent FROM (
+  SELECT total, unnest([
+    {{'field': 'gr_number', 'required': true, 'present': total}}, {{'field': 'title', 'required': true, 'present': 0}}, {{'field': 'promulgated', 'required': true, 'present': total}},
+    {{'field': 'body', 'required': true, 'present': body}}, {{'field': 'division', 'required': false, 'present': division}}, {{'field': 'ponente', 'required': false, 'present': ponente}},
+    {{'field': 'separate_opinions', 'required': false, 'present': 0}}, {{'field': 'footnotes', 'required': false, 'present': 0}}], recursive := true) FROM n
+)"""
+)
+def completeness(spark, sf_dir):
+    return X.completeness(_cases(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"WITH {O.CASES}, l AS (SELECT list(length(body) ORDER BY length(body)) AS x FROM cases WHERE body <> '') SELECT CAST(x[1] AS INT) AS least, CAST(x[len(x) // 2 + 1] AS INT) AS median, CAST(x[len(x)] AS INT) AS most, (SELECT CAST(min(year(promulgated)) AS INT) FROM cases) AS year_min, (SELECT CAST(max(year(promulgated)) AS INT) FROM cases) AS year_max FROM l")
+def body_report(spark, sf_dir):
+    return X.body_report(_cases(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS attempted, count(*) FILTER (k = 0) AS fetched, count(*) FILTER (k = 1) AS cached, count(*) FILTER (k = 2) AS failed, count(*) FILTER (k = 3) AS disallowed,
+  CAST(sum(CASE WHEN k = 0 THEN page_id * 10 END) AS BIGINT) AS bytes_fetched, round(count(*) FILTER (k = 2) / count(*) * 100, 6) AS failed_percent FROM (SELECT page_id, page_id % 5 AS k FROM pages)""")
+def crawl_counters(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    status = F.element_at(F.array(*map(F.lit, ["fetched", "cached", "failed", "disallowed", "other"])), (F.col("page_id") % 5 + 1).cast("int"))
+    return X.crawl_counters(rows.select(status.alias("status"), (F.col("page_id") * 10).alias("bytes"))).withColumn("failed_percent", F.round("failed_percent", 6))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month page for each year and month, and a page for each of its documents but every ninth."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    month = F.element_at(F.array(*map(F.lit, X.MONTHS)), (F.col("doc_id") % 12 + 1).cast("int"))
+    number = F.col("doc_id").cast("string")
+    docs = docs.select("doc_id", (F.lit(2010) + F.col("doc_id") % 5).cast("int").alias("year"), month.alias("month"), number.alias("n"), F.concat(F.lit("gr_"), number, F.lit(".html")).alias("file"))
+    row = F.concat(
+        F.lit("<tr><td><a href='"), "file", F.lit("'>G.R. No. "), "n", F.lit("</a> March 5, 2011</td><td>People v. No. "), "n",
+        F.lit("<br>Dissenting Opinion <a href='op_"), "n", F.lit(".html'>x</a></td></tr>"),
+    )
+    lists = docs.groupBy("year", "month").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("rows"))
+    index = lists.select("year", "month", F.lit("index.html").alias("file"), F.lit(True).alias("is_index"), F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: x.r), ""), F.lit("</table>")).alias("html"))
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<p>Body of "), "n", F.lit(".<script>x</script><p>More<cite>y</cite> text.")))
+    page = F.concat(F.lit("<title>en banc</title><p>SECOND  DIVISION<p>D E C I S I O N<p>PERLAS-BERNABE, J.:"), body, F.lit("<p class=jn>note "), "n")
+    opinion = F.concat(F.lit("<div id=so>♦ Dissenting Opinion <a href=op_"), "n", F.lit(".html>Leonen, [J]</a></div><p>DISSENTING OPINION<p>I dissent in "), "n")
+    pages = docs.where("doc_id % 9 <> 4").select("year", "month", "file", F.lit(False).alias("is_index"), page.alias("html"))
+    opinions = docs.where("doc_id % 2 = 0").select("year", "month", F.concat(F.lit("op_"), "n", F.lit(".html")).alias("file"), F.lit(False).alias("is_index"), opinion.alias("html"))
+    return index.unionByName(pages).unionByName(opinions)
+
+
+@query("""SELECT row_number() OVER (ORDER BY y, m, doc_id) - 1 AS doc_id, 'G.R. No. ' || doc_id AS gr_number, 'People v. No. ' || doc_id AS title, make_date(2011, 3, 5) AS promulgated,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Body of ' || doc_id || '.' || chr(10) || chr(10) || 'More text.' END AS body, 'Second Division' AS division, 'Perlas-Bernabe, J.' AS ponente,
+  CASE WHEN doc_id % 2 = 0 THEN 'Dissenting Opinion — Leonen, J.' || chr(10) || chr(10) || 'I dissent in ' || doc_id ELSE '' END AS opinions, 'note ' || doc_id AS footnotes,
+  'https://example.org/judjuris/juri' || y || '/' || ['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'][m + 1] || y || '/gr_' || doc_id || '.html' AS source_url
+FROM (SELECT doc_id, 2010 + doc_id % 5 AS y, CAST(doc_id % 12 AS INT) AS m FROM documents WHERE doc_id % 9 <> 4)""")
+def records_build(spark, sf_dir):
+    records, _ = X.build_records(_landed(spark, sf_dir))
+    return records.select(*[c for c in records.columns if c != "separate_opinions"], F.array_join("separate_opinions", "|").alias("opinions"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (
+  SELECT 'missing-html' AS kind FROM documents WHERE doc_id % 9 = 4 UNION ALL SELECT 'missing-opinion' FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 2 = 1
+  UNION ALL SELECT 'empty-body' FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 7 = 0) GROUP BY kind""")
+def records_problems(spark, sf_dir):
+    _, problems = X.build_records(_landed(spark, sf_dir))
+    return X.problem_report(problems)
+
+
+@query("SELECT CAST(2010 + doc_id % 5 AS INT) AS year, ['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'][CAST(doc_id % 12 AS INT) + 1] AS month, 'gr_' || doc_id || '.html' AS decision_file, 'G.R. No. ' || doc_id AS citations, 'op_' || doc_id || '.html' AS opinion_files FROM documents")
+def month_listing(spark, sf_dir):
+    rows = X.listing(_landed(spark, sf_dir).where("is_index"))
+    return rows.select("year", "month", "decision_file", F.array_join("citations", "|").alias("citations"), F.array_join("opinion_files", "|").alias("opinion_files"))
+
+
+@query("""SELECT CAST(y AS INT) AS year, m AS month, 'https://example.org/juri' || y || '/' || m || y || '/' || m || y || '.html' AS url FROM (SELECT DISTINCT 2000 + n_nationkey AS y FROM nation), (SELECT unnest(['jan', 'mar', 'dec']) AS m)""")
+def month_links(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.lit(2000) + F.col("n_nationkey")).cast("int").alias("year")).distinct()
+    y = F.col("year").cast("string")
+    html = F.concat(*[x for m in ("dec", "Mar", "jan", "mar") for x in (F.lit(f"<a href='{m}"), y, F.lit(f"/{m}"), y, F.lit(".html'>x</a>"))], F.lit("<a href='feb1999/feb1999.html'>y</a>"))
+    return X.month_pages(rows.select("year", F.concat(F.lit("https://example.org/juri"), y, F.lit("/index.html")).alias("url"), html.alias("html")))
+
+
+@query("SELECT 'mar' || (2000 + n_nationkey) AS slug, 'https://example.org/a/gr_' || k || '.html' AS url FROM nation, range(2) AS t(k)")
+def decision_links(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("mar"), (F.lit(2000) + F.col("n_nationkey")).cast("string")).alias("slug"))
+    html = F.concat(F.lit("<a href='"), "slug", F.lit(".html'>m</a><a href=gr_0.html>a</a><a href=../up.html>u</a><a href=gr_0.html>b</a><a href=gr_1.html>c</a><a href=gr_2.html>d</a>"))
+    return X.decision_urls(rows.select("slug", F.lit("https://example.org/a/m.html").alias("url"), html.alias("html")), per_month=2).select("slug", "url")
