@@ -77,7 +77,13 @@ def decision_urls(pages: DataFrame, per_month: int | None = None) -> DataFrame:
 
 def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(year, month, file, is_index, html) of the pages in a folder of year/month/file, as landed."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)
+    # Spark's listing skips folders whose name begins with "_"; those named in a pattern it reads
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    patterns = [p for p in (f"{folder}/*/_index/*.html", f"{folder}/*/[a-z]*/*.html") if len(files.globStatus(place(p)) or [])]
+    if not patterns:
+        return spark.createDataFrame([], "year int, month string, file string, is_index boolean, html string")
+    rows = spark.read.format("binaryFile").load(patterns)
     parts = F.split("path", "/")
     at = lambda k: F.element_at(parts, -k)
     slug = F.regexp_replace(at(1), r"\.html$", "")
