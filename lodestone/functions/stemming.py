@@ -56,7 +56,8 @@ TABLES: list[list[tuple[str, str]]] = [
     [(f"^({_MORE}.*)e$", ""), (f"^({_SHORT}e)$", ""), (f"^({_ONE})e$", "")],
     [(f"^({_ends('l')})l$", "")],
 ]
-_COMPILED = [[(re.compile(pattern), tail) for pattern, tail in table] for table in TABLES]
+#: The same with the letters that each pattern ends with, which rule out most words at once.
+_COMPILED = [[(re.search(r"\)([^()]*)\$$", pattern)[1], re.compile(pattern), tail) for pattern, tail in table] for table in TABLES]
 
 
 def measure(word: str) -> int:
@@ -71,8 +72,8 @@ def stem(word: str) -> str:
         return word
     word = re.sub("^y", "Y", word)
     for table in _COMPILED:
-        for pattern, tail in table:
-            if found := pattern.match(word):
+        for end, pattern, tail in table:
+            if word.endswith(end) and (found := pattern.match(word)):
                 word = found[1] + tail
                 break
     return re.sub("^Y", "y", word)

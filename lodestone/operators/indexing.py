@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import storage
-from lodestone.functions.tokens import term_table
+from lodestone.functions.tokens import places, term_table
 
 VERSION = 1
 #: Documents by which the gaps of one term's postings are measured in parallel.
@@ -65,11 +68,28 @@ class Index:
         return {r["term"]: r["df"] for r in rows}
 
 
-def postings_of(cases: DataFrame, *, stemming: bool = True) -> DataFrame:
-    """(term, doc_id, tf, positions): one shuffle, on term and document, combined before it."""
-    terms = term_table(cases.withColumn("_unit", unit_text()), "doc_id", "_unit", stemming=stemming)
-    grouped = terms.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+def _posted(batches):
+    for batch in batches:
+        terms, ids, positions, sizes = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = places(text or "")
+            terms += found
+            ids += [doc_id] * len(found)
+            sizes += map(len, found.values())
+            positions += chain.from_iterable(found.values())
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["term", "doc_id", "tf", "positions"])
+
+
+def postings_of(cases: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, positions), each document's own, without a shuffle.
+
+    A posting needs one document alone, so documents are scanned and grouped where they are read, in
+    Arrow batches; the alternative, a row for each token, would shuffle the corpus to group it.
+    """
+    units = cases.select(F.col("doc_id").cast("long"), unit_text().alias("unit"))
+    return units.mapInArrow(_posted, "term string, doc_id long, tf int, positions array<int>")
 
 
 def with_lengths(cases: DataFrame, postings: DataFrame) -> DataFrame:
