@@ -191,7 +191,7 @@ def batch(spark: SparkSession, index: Index, queries: dict[str, Query], rankers:
         for i, q in live.items() for t, n in q.weights.items() if t in dfs
     ]
     asked = spark.createDataFrame(rows, "query_id string, term string, qtf double, must boolean, should boolean, weights array<double>")
-    joined = index.postings.join(F.broadcast(asked), "term")
+    joined = index.postings.where(F.col("term").isin(sorted(dfs))).join(F.broadcast(asked), "term")
     phrased = any(q.phrases for q in live.values())
     gains = [F.sum(F.element_at("weights", c + 1) * r.gain(index)).alias(f"s{c}") for c, r in enumerate(rankers)]
     marks = [F.max(F.element_at("weights", c + 1) > 0).alias(f"m{c}") for c in range(len(rankers))]
