@@ -264,8 +264,15 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         machines: list[Automaton | None] = [None] * len(parts)
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            hits = scanned(texts, machines)
-            cleaned = [_cut(t, r[1], coverage, longest) if t and r[1] else t for t, r in zip(texts, hits)]
+            cleaned: list[bytes | None] = list(texts)
+            todo = [i for i, t in enumerate(texts) if t]
+            while todo:  # what remains on both sides of a cut may make another window
+                found = scanned([cleaned[i] for i in todo], machines)
+                before, todo = [(i, cleaned[i], hit[1]) for i, hit in zip(todo, found) if hit[1]], []
+                for i, text, spans in before:
+                    cleaned[i] = _cut(text, spans, coverage, longest)
+                    if cleaned[i] and cleaned[i] != text:
+                        todo.append(i)
             stays = pa.array([t is None or c is not None for t, c in zip(texts, cleaned)], pa.bool_())
             text = pa.array([None if c is None else c.decode("utf-8", "replace") for c in cleaned], pa.string())
             arrays = [text if i == at else batch.column(i) for i in range(batch.num_columns)]

@@ -71,6 +71,14 @@ def test_cutting(spark):
     assert rows[1][0] == "Before. ! After it come many more words so that most of it stays in place as it was"
 
 
+def test_cuts_that_meet(spark):
+    first, second = "a b c d e f g h i j".split(), "k l m n o p q r s t".split()
+    text = " ".join([*["pad"] * 30, *first[:5], *second, *first[5:], *["pad"] * 30])
+    items = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "item_id long, text string")
+    out = decontam.contamination(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), items, cut=True).first()
+    assert plain_words(out.text) == ["pad"] * 60
+
+
 # -- BPE ---------------------------------------------------------------------------------------------
 
 tokenizers = pytest.importorskip("tokenizers")
