@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -61,11 +61,19 @@ class Index:
     stats: DataFrame
     n_docs: int
     avgdl: float
+    asked: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
 
     def doc_freqs(self, terms: list[str]) -> dict[str, int]:
-        """Document frequencies of a query's terms; as many rows as the query has terms."""
-        rows = self.vocab.where(F.col("term").isin(terms)).select("term", "df").collect() if terms else []
-        return {r["term"]: r["df"] for r in rows}
+        """Document frequencies of a query's terms, without those that no document has.
+
+        Each call reads as many rows as there are terms; the last few thousand are remembered.
+        """
+        if missing := [t for t in terms if t not in self.asked]:
+            if len(self.asked) > 10_000:
+                self.asked.clear()
+            rows = self.vocab.where(F.col("term").isin(missing)).select("term", "df").collect()
+            self.asked.update(dict.fromkeys(missing, 0) | {r["term"]: r["df"] for r in rows})
+        return {t: self.asked[t] for t in terms if self.asked.get(t)}
 
 
 def _posted(batches):
@@ -78,18 +86,29 @@ def _posted(batches):
             sizes += map(len, found.values())
             positions += chain.from_iterable(found.values())
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["term", "doc_id", "tf", "positions"])
+        flat = np.array(positions, dtype=np.int32)
+        gaps = np.diff(flat, prepend=0)
+        gaps[offsets[:-1]] = flat[offsets[:-1]]
+        own = np.add.reduceat(_varints(gaps), offsets[:-1]) if len(flat) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        arrays = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(own + _varints(np.array(sizes, dtype=np.int64)))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["term", "doc_id", "tf", "positions", "own_bytes"])
+
+
+def _varints(x: np.ndarray) -> np.ndarray:
+    return 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
 
 
 def postings_of(cases: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions), each document's own, without a shuffle.
+    """(term, doc_id, tf, positions, own_bytes), each document's own, without a shuffle.
+
+    own_bytes is the encoded size of what depends on the document alone: tf and gaps of positions.
 
     A posting needs one document alone, so documents are scanned and grouped where they are read, in
     Arrow batches; the alternative, a row for each token, would shuffle the corpus to group it.
     """
     units = cases.select(F.col("doc_id").cast("long"), unit_text().alias("unit"))
-    return units.mapInArrow(_posted, "term string, doc_id long, tf int, positions array<int>")
+    return units.mapInArrow(_posted, "term string, doc_id long, tf int, positions array<int>, own_bytes long")
 
 
 def with_lengths(cases: DataFrame, postings: DataFrame) -> DataFrame:
@@ -99,27 +118,24 @@ def with_lengths(cases: DataFrame, postings: DataFrame) -> DataFrame:
     return docs.withColumn("year", F.year("promulgated"))
 
 
-def posting_bytes(postings: DataFrame) -> DataFrame:
-    """(term, posting_bytes): size of each term's postings as gaps and variable-length numbers.
+def vocabulary(postings: DataFrame) -> DataFrame:
+    """(term, df, cf, posting_bytes, first_doc, first_pos) of every term.
 
-    Gaps are taken within ranges of documents, which run in parallel, and between the ranges from
-    their first and last documents; no term's whole postings meet in one task.
+    posting_bytes is the size of a term's postings as gaps and variable-length numbers. Gaps between
+    documents are taken within ranges of documents, which run in parallel, and between the ranges
+    from their first and last documents; no term's whole postings meet in one task.
     """
-    inner = F.expr("aggregate(zip_with(slice(positions, 2, size(positions)), slice(positions, 1, size(positions) - 1), (a, b) -> a - b), 0L, (s, g) -> s + 1 + int(g >= 128) + int(g >= 16384) + int(g >= 2097152) + int(g >= 268435456))")
-    own = varint_bytes(F.col("tf")) + varint_bytes(F.element_at("positions", 1)) + inner
-    rows = postings.select("term", "doc_id", own.alias("own"), F.floor(F.col("doc_id") / DOC_RANGE).alias("part"))
+    rows = postings.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("pos"), F.col("own_bytes").alias("own"), F.floor(F.col("doc_id") / DOC_RANGE).alias("part"))
     before = F.lag("doc_id").over(Window.partitionBy("term", "part").orderBy("doc_id"))
-    rows = rows.withColumn("gap", F.col("doc_id") - before)
-    parts = rows.groupBy("term", "part").agg(F.sum(F.col("own") + F.coalesce(varint_bytes(F.col("gap")), F.lit(0))).alias("own"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    rows = rows.withColumn("own", F.col("own") + F.coalesce(varint_bytes(F.col("doc_id") - before), F.lit(0)))
+    parts = rows.groupBy("term", "part").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("own").alias("own"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("pos")
+    )
     start = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("part")), F.lit(0))
-    return parts.withColumn("start", varint_bytes(start)).groupBy("term").agg(F.sum(F.col("own") + F.col("start")).cast("long").alias("posting_bytes"))
-
-
-def vocabulary(postings: DataFrame) -> DataFrame:
-    first = F.min(F.struct("doc_id", F.element_at("positions", 1).alias("pos"))).alias("first")
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), first)
-    counts = counts.select("term", "df", "cf", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    return counts.join(posting_bytes(postings), "term")
+    terms = parts.withColumn("own", F.col("own") + varint_bytes(start)).groupBy("term")
+    return terms.agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("own").cast("long").alias("posting_bytes"), F.min("first").alias("first_doc"), F.min_by("pos", "part").alias("first_pos")
+    )
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
