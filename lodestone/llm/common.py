@@ -68,8 +68,3 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     """(doc_id, y): one row a document; rows without an id or label go, repeated ones are averaged."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     return known.groupBy("doc_id").agg((F.avg(F.col(column).cast("double")) >= 0.5).cast("int").alias("y"))
-
-
-def with_broadcast(docs: DataFrame, chosen: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of docs with the label of `chosen`, a sample whose size its caller has bounded."""
-    return docs.join(F.broadcast(scratch.save(chosen, name)), "doc_id")
