@@ -15,6 +15,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -303,6 +304,12 @@ class Codec:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def codec_of(text: str) -> Codec:
+    """The codec of a tokenizer.json, which a worker keeps, caches included, from task to task."""
+    return Codec(text)
+
+
 class Decoder:
     """Ids to text, fed in parts of any size.
 
@@ -345,10 +352,9 @@ def tokens(spark: SparkSession, docs: DataFrame, path: str, *, with_ids: bool =
     """
     with open(path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
-    held: dict[str, Codec] = {}
 
     def run(batches):
-        codec = held.setdefault("codec", Codec(spec.value)) if "codec" not in held else held["codec"]
+        codec = codec_of(spec.value)
         for batch in batches:
             counts, coded, decoded, ids = [], [], [], []
             for text in batch.column(1).to_pylist():
