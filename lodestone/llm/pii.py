@@ -88,9 +88,16 @@ def _unmark(text: Column) -> Column:
 
 
 def _suspect(text: Column) -> Column:
-    """Whether _mark() would mark anything."""
-    titles = "|".join(t for titles in TITLES.values() for t in titles)
-    return text.rlike(_ENTITY) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{titles})\.?[  ]\p{{Lu}}\p{{L}}")
+    """Whether _mark() would mark anything.
+
+    Every entity holds a digit, @, = or :, or is an access key, so the long pattern is tried on texts
+    with one of these alone; the titles' pattern looks at a letter before anything else.
+    """
+    possible = text.rlike("[0-9@=:]") | text.contains("AKIA")
+    titles = [t for own in TITLES.values() for t in own]
+    first = "".join(sorted({t[0] for t in titles}))
+    named = text.rlike(rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])(?:{'|'.join(titles)})\.?[ \u00A0]\p{{Lu}}\p{{L}}")
+    return (possible & text.rlike(_ENTITY)) | named
 
 
 def _kind(piece: Column) -> Column:
