@@ -349,6 +349,13 @@ def squash_text(spark, sf_dir):
     return rows.select("doc_id", C.squash_column(F.left("text", F.lit(200))).alias("squashed"))
 
 
+@query("SELECT doc_id, replace(regexp_replace(upper(text), '[\\s\\x{00A0}]+', '', 'g'), 'ẞ', 'SS') AS squashed FROM documents")
+def squash_whole_text(spark, sf_dir):
+    """squash over all of every text; squash_text, as its SQL has it, reads 200 characters."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", C.squash_column(F.col("text")).alias("squashed"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS found FROM orders""")
 def parse_dates(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -365,16 +372,17 @@ def parse_dates(spark, sf_dir):
 def citations_extract(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     number = F.col("doc_id").cast("string")
+    whole = F.coalesce("text", F.lit(""))  # dockets stand before and behind all of a document
     text = F.when(
-        F.col("doc_id") % 2 == 0, F.concat(F.lit("See G.R. Nos. "), number, F.lit("-95. and A.C. No. 9218; G.R. Nos. "), number, F.lit("-95, A.M. No. RTJ-19-2552"))
-    ).otherwise(F.concat(F.lit("x g.r. no. 1"), number, F.lit("; none"))).alias("t")
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("See G.R. Nos. "), number, F.lit("-95. "), whole, F.lit(" and A.C. No. 9218; G.R. Nos. "), number, F.lit("-95, A.M. No. RTJ-19-2552"))
+    ).otherwise(F.concat(whole, F.lit(" x g.r. no. 1"), number, F.lit("; none"))).alias("t")
     return rows.select("doc_id", F.array_join(C.citations_column(text), "|").alias("dockets"))
 
 
 @query("SELECT doc_id, 'Case ' || doc_id || ' v. State' AS caption FROM documents")
 def strip_opinion_tail(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" v. State ,;  Concurring and Dissenting Opinion Justice X"))
+    text = F.concat(F.lit("Case "), F.col("doc_id").cast("string"), F.lit(" v. State ,;  Concurring and Dissenting Opinion Justice X "), F.coalesce("text", F.lit("")))
     return rows.select("doc_id", C.without_tail_column(text).alias("caption"))
 
 
@@ -405,11 +413,14 @@ def crawl_counters(spark, sf_dir):
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A month page for each year and month, and a page for each of its documents but every ninth."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    """A month page for each year and month, and a page for each of its documents but every ninth.
+
+    A document's whole text stands in its page as a script, which is read and left out.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     month = F.element_at(F.array(*map(F.lit, X.MONTHS)), (F.col("doc_id") % 12 + 1).cast("int"))
     number = F.col("doc_id").cast("string")
-    docs = docs.select("doc_id", (F.lit(2010) + F.col("doc_id") % 5).cast("int").alias("year"), month.alias("month"), number.alias("n"), F.concat(F.lit("gr_"), number, F.lit(".html")).alias("file"))
+    docs = docs.select("doc_id", (F.lit(2010) + F.col("doc_id") % 5).cast("int").alias("year"), month.alias("month"), number.alias("n"), F.concat(F.lit("gr_"), number, F.lit(".html")).alias("file"), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;")).alias("whole"))
     row = F.concat(
         F.lit("<tr><td><a href='"), "file", F.lit("'>G.R. No. "), "n", F.lit("</a> March 5, 2011</td><td>People v. No. "), "n",
         F.lit("<br>Dissenting Opinion <a href='op_"), "n", F.lit(".html'>x</a></td></tr>"),
@@ -417,7 +428,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = docs.groupBy("year", "month").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("rows"))
     index = lists.select("year", "month", F.lit("index.html").alias("file"), F.lit(True).alias("is_index"), F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: x.r), ""), F.lit("</table>")).alias("html"))
     body = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<p>Body of "), "n", F.lit(".<script>x</script><p>More<cite>y</cite> text.")))
-    page = F.concat(F.lit("<title>en banc</title><p>SECOND  DIVISION<p>D E C I S I O N<p>PERLAS-BERNABE, J.:"), body, F.lit("<p class=jn>note "), "n")
+    page = F.concat(F.lit("<title>en banc</title><p>SECOND  DIVISION<p>D E C I S I O N<p>PERLAS-BERNABE, J.:"), F.lit("<script>"), "whole", F.lit("</script>"), body, F.lit("<p class=jn>note "), "n")
     opinion = F.concat(F.lit("<div id=so>♦ Dissenting Opinion <a href=op_"), "n", F.lit(".html>Leonen, [J]</a></div><p>DISSENTING OPINION<p>I dissent in "), "n")
     pages = docs.where("doc_id % 9 <> 4").select("year", "month", "file", F.lit(False).alias("is_index"), page.alias("html"))
     opinions = docs.where("doc_id % 2 = 0").select("year", "month", F.concat(F.lit("op_"), "n", F.lit(".html")).alias("file"), F.lit(False).alias("is_index"), opinion.alias("html"))

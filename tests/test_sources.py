@@ -1,4 +1,5 @@
 from lodestone.functions.cleaning import clean, find_citations, find_date
+from lodestone.queries import QUERIES
 from lodestone.sources import decision as D
 from lodestone.sources import html as H
 from lodestone.sources import records as X
@@ -56,3 +57,13 @@ def test_records_and_stream(spark, tmp_path):
             (raw / "2019" / "mar" / name).write_text(text)
         ingest(spark, str(raw), target, state).awaitTermination(120)
         assert spark.read.parquet(target).count() == expected
+
+
+def test_whole_texts(spark, tmp_path):
+    """What stands far behind the first characters of a document counts."""
+    text = "ab  c\n" * 3000 + "see G.R. No. 777 and more"
+    spark.createDataFrame([(2, text, "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = lambda name: {r.doc_id: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert own("squash_whole_text") == {2: "ABC" * 3000 + "SEEG.R.NO.777ANDMORE", 3: None}
+    assert own("citations_extract") == {2: "G.R. Nos. 2-95|G.R. No. 777|A.C. No. 9218", 3: "g.r. no. 13"}
+    assert own("strip_opinion_tail") == {2: "Case 2 v. State", 3: "Case 3 v. State"}
