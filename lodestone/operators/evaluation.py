@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.operators.indexing import Index
 from lodestone.operators.retrieval import BM25, Ranker, TfIdf, batch, page, search
 from lodestone.plans.query import parse
@@ -64,13 +66,38 @@ def means(rows: DataFrame) -> DataFrame:
 def percentile(values: str, fraction: float) -> Column:
     """The nearest-rank percentile of a column, halves rounded to even; 0 without rows.
 
-    It sorts what it gathers, so use it over measurements, of which there are few.
+    It sorts what it gathers, so use it over measurements, of which there are few; nearest_ranks()
+    takes a whole table.
     """
     ordered = F.array_sort(F.collect_list(values))
     at = F.greatest(F.least(F.size(ordered), F.bround(F.lit(fraction) * F.size(ordered) + 0.5).cast("int")), F.lit(1))
     return F.coalesce(F.try_element_at(ordered, at), F.lit(0.0))
 
 
+def nearest_ranks(rows: DataFrame, values: str, fractions: dict[str, float]) -> DataFrame:
+    """One row of the nearest-rank percentiles of a column, exact, by their names; 0 without rows.
+
+    Values are counted, and their counts dealt out by ranges of values and stored. Ranks are running
+    sums in each range, from the sum of the ranges before; no task reads more than a range.
+    """
+    spark = rows.sparkSession
+    path = f"{storage.shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    storage.delete_on_exit(spark, path)
+    counts = rows.where(F.col(values).isNotNull()).groupBy(F.col(values).alias("x")).agg(F.count("*").alias("n"))
+    counts = storage.save(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), path)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.orderBy("part")) - F.col("m")
+    parts = parts.select("part", before.alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    ranked = counts.join(F.broadcast(parts), "part").select("x", "n", "total", upto.alias("upto"))
+
+    def value(fraction: float) -> Column:
+        at = F.greatest(F.least("total", F.bround(F.lit(fraction) * F.col("total") + 0.5).cast("long")), F.lit(1))
+        return F.coalesce(F.max(F.when((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at), F.col("x"))), F.lit(0.0))
+
+    return ranked.agg(*[value(f).alias(name) for name, f in fractions.items()])
+
+
 def sweep(spark: SparkSession, index: Index, judged: DataFrame, rankers: list[Ranker] | None = None, k: int = 10) -> DataFrame:
     """(config, name, p_at_10, mrr) of every ranker, from one batch plan over all judged queries."""
     rankers = rankers or grid()

@@ -328,6 +328,15 @@ def latency_percentile(spark, sf_dir):
     return rows.agg(E.percentile("value", 0.5).alias("p50"), E.percentile("value", 0.95).alias("p95"), E.percentile("value", 0.001).alias("p01"))
 
 
+@query("""WITH t AS (SELECT list(value ORDER BY value) AS x, count(value) AS n FROM events WHERE value IS NOT NULL)
+SELECT x[greatest(1, least(n, CAST(round_even(0.5::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p50, x[greatest(1, least(n, CAST(round_even(0.95::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p95,
+  x[greatest(1, least(n, CAST(round_even(0.001::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p01 FROM t""")
+def event_percentile(spark, sf_dir):
+    """Percentiles of all events; latency_percentile, as its SQL has it, takes those of the first 50."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return E.nearest_ranks(rows, "value", {"p50": 0.5, "p95": 0.95, "p01": 0.001})
+
+
 # Pages, listings and records. The tables hold no court pages, so these are written around their rows.
 
 
