@@ -67,6 +67,8 @@ SYLLABLES = {
 }
 #: Rounds in which a surrogate that some entity really has is refused too; and rounds at all.
 SHY_ROUNDS, MOST_ROUNDS = 8, 64
+#: The share of a fixed format's numbers from which its entities are permuted and not drawn.
+DENSE = 0.25
 
 
 def _mark(text: Column) -> Column:
@@ -119,7 +121,7 @@ def _canon(piece: Column, kind: Column) -> Column:
     x = F.substring(piece, 2, 1 << 20)
     return (
         F.when(kind == "secret", F.regexp_replace(x, _SECRET, ""))
-        .when(kind == "email", F.lower(x)).when(kind.isin("key", "ip"), x)
+        .when(kind == "email", F.lower(x)).when(kind == "key", x).when(kind == "ip", F.regexp_replace(x, r"\b0(?=\d)", ""))
         .when(kind == "iban", F.replace(x, F.lit(" "), F.lit(""))).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(x, r"[^0-9+]", ""))
         .otherwise(F.lower(x))
     )
@@ -154,6 +156,48 @@ def _like(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), other), "")
 
 
+def _country() -> Column:
+    """The characters of a phone number that stay."""
+    return F.when(F.col("canon").rlike(r"^\+[17]"), 2).when(F.startswith("canon", F.lit("+")), 3).otherwise(0)
+
+
+def _space() -> Column:
+    """Of (type, canon), the numbers that a fixed format has: (stem, high, low), of which high * low share the
+    stem; null for formats that are long or grow with the turn."""
+    kind, canon, country = F.col("type"), F.col("canon"), _country()
+    free = F.length("canon") - country
+    ten = lambda n: F.pow(F.lit(10.0), n).cast("long")
+    space = lambda stem, high, low: F.struct(stem.alias("stem"), high.cast("long").alias("high"), low.cast("long").alias("low"))
+    return (
+        F.when((kind == "ip") & canon.startswith("192.168."), space(F.lit("192.168."), F.lit(256), F.lit(256)))
+        .when((kind == "ip") & canon.startswith("10."), space(F.lit("10."), F.lit(256), F.lit(65536)))
+        .when(kind == "ssn", space(F.lit(""), F.lit(10**4), F.lit(10**5)))
+        .when((kind == "phone") & (free <= 12), space(F.left("canon", country), ten(F.floor(free / 2)), ten(free - F.floor(free / 2))))
+    )
+
+
+def _permuted(entities: DataFrame, key: str) -> DataFrame:
+    """(type, canon, surrogate) of entities(type, canon, space): a keyed permutation of all that share a stem and a length.
+
+    The number's two halves are shifted in turn by a keyed function of the other half, so that no
+    two numbers get the same one, however many there are.
+    """
+    high, low = F.col("space.high"), F.col("space.low")
+    octet = lambda i: F.element_at(F.split("canon", r"\."), i).cast("long")
+    digits = F.substring(F.col("canon"), F.length("space.stem") + 1, F.length("canon")).cast("long")
+    number = F.when(F.col("type") != "ip", digits).when(high * low == 1 << 16, octet(3) * 256 + octet(4)).otherwise(octet(2) * 65536 + octet(3) * 256 + octet(4))
+    rows = entities.withColumn("_x", number).withColumn("_a", F.floor(F.col("_x") / low)).withColumn("_b", F.col("_x") % low)
+    for turn in range(6):
+        own, other, size = ("_a", "_b", high) if turn % 2 == 0 else ("_b", "_a", low)
+        digest = F.sha2(F.concat_ws("\u0001", F.lit(key), "type", "space.stem", high.cast("string"), low.cast("string"), F.lit(str(turn)), F.col(other).cast("string")), 256)
+        rows = rows.withColumn(own, (F.col(own) + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")) % size)
+    x = F.col("_a") * low + F.col("_b")
+    part = lambda k: (F.floor(x / (1 << k)) % 256).cast("string")
+    address = F.concat("space.stem", F.when(high * low == 1 << 16, F.concat_ws(".", part(8), part(0))).otherwise(F.concat_ws(".", part(16), part(8), part(0))))
+    padded = F.concat("space.stem", F.lpad(x.cast("string"), F.length("canon") - F.length("space.stem"), F.lit("0")))
+    return rows.select("type", "canon", F.when(F.col("type") == "ip", address).otherwise(padded).alias("surrogate"))
+
+
 def _luhn(digits: Column, skip: int) -> Column:
     """The Luhn sum of a number; with skip = 1, of all but its last digit, as if that were to come."""
     n = F.length(digits)
@@ -176,11 +220,14 @@ def _surrogate(drawn: DataFrame, key: str) -> DataFrame:
         for letter, options in (genders | {"s": SYLLABLES[script]}).items():
             names = F.when(kind == f"name.{script}.{letter}", F.array(*map(F.lit, options))).otherwise(names)
     drawn = drawn.withColumn("_hex", _hex(key)).withColumn("_names", names)
+    turn = F.col("turn")
     drawn = drawn.withColumn("_fresh", _like(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon)))
+    # later turns lengthen what may be of any length, so that short mailboxes and secrets never run out
+    longer = F.concat(fresh, F.substring(F.col("_hex"), F.lit(65), turn - SHY_ROUNDS + 1))
+    drawn = drawn.withColumn("_fresh", F.when(kind.isin("email", "secret") & (turn >= SHY_ROUNDS), longer).otherwise(fresh))
     keep = lambda n: F.concat(F.left(canon, n), F.substring(fresh, n + 1, F.length(fresh)))
     drawn = drawn.withColumn("_card", keep(F.lit(1)))
     checked = F.concat(F.left("_card", F.length("_card") - 1), ((10 - _luhn(F.col("_card"), 1) % 10) % 10).cast("string"))
-    country = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     domain = F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), F.substring_index(canon, "@", -1)), 256), 1, 8)
     mailbox = F.concat(fresh, F.lit("@h"), domain, F.lit(".example."), _pick(F.array(*map(F.lit, ["com", "net", "org"])), 61))
     octets = [_byte(k).cast("string") for k in range(4)]
@@ -190,13 +237,14 @@ def _surrogate(drawn: DataFrame, key: str) -> DataFrame:
         .otherwise(F.concat_ws(".", (_byte(0) % 99 + 101).cast("string"), *octets[1:]))
     )
     options = F.col("_names")
-    family = F.initcap(F.concat(*[_pick(options, k) for k in range(3)], F.when(F.col("turn") > 3, _pick(options, 3)).otherwise("")))
-    # further turns hyphenate more given names, so that a short list never runs out
-    given = F.concat_ws("-", _pick(options, 8), *[F.when(F.col("turn") > 1 + 2 * k, _pick(options, 9 + k)) for k in range(8)])
+    # further turns add syllables and hyphenate more given names, so that neither list ever runs out
+    picked = lambda first, n: F.transform(F.sequence(F.lit(first), first + n - 1), lambda i: _pick(options, i))
+    family = F.initcap(F.array_join(picked(0, 3 + F.greatest(turn - 3, F.lit(0))), ""))
+    given = F.array_join(picked(8, 1 + F.when(turn < SHY_ROUNDS, F.floor(turn / 2)).otherwise(turn - 4).cast("int")), "-")
     out = (
         F.when(kind == "email", mailbox).when(kind == "ip", address).when(kind == "key", keep(F.lit(4)))
         .when(kind == "card", F.when(_luhn(canon, 0) % 10 == 0, checked).otherwise(F.col("_card")))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(fresh, 2, 16))).when(kind == "phone", keep(country)).when(kind == "iban", keep(F.lit(2)))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(fresh, 2, 16))).when(kind == "phone", keep(_country())).when(kind == "iban", keep(F.lit(2)))
         .when(kind.rlike("^name.*[.]s$"), family).when(kind.startswith("name."), given)
     )
     return drawn.withColumn("surrogate", out.otherwise(fresh))
@@ -207,11 +255,22 @@ def surrogates(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
 
     In each turn every open entity draws a surrogate from the key. Of those that draw the same one
     the smallest wins; nobody gets one that was given out before, nor one that some entity of the
-    type really has. The others draw again. Surrogates are compared without case, as names and
-    mailboxes are. The result is the same for any order of rows and any number of partitions.
+    type really has. The others draw again. Names, mailboxes and secrets grow with the turn. Of fixed
+    formats (private addresses, phone and social-security numbers), those with a quarter or more of
+    their numbers taken are permuted by the key instead, so that even all of them get surrogates;
+    there, what one gets may be what another really has. Surrogates are compared without case, as
+    names and mailboxes are. The result is the same for any order of rows and any number of partitions.
     """
     real = entities.select("type", F.lower("canon").alias("s"))
     todo, given, turn = entities, None, 0
+    spaces = entities.withColumn("space", _space()).where("space IS NOT NULL").groupBy("type", "space").agg(F.count("*").alias("n"))
+    # social-security numbers drawn begin with 9; permuted ones may not
+    room = F.col("space.high") * F.col("space.low") / F.when(F.col("type") == "ssn", 10).otherwise(1)
+    dense = scratch.save(spaces.where(F.col("n") >= DENSE * room).select("type", "space"), "dense")
+    if not dense.isEmpty():
+        fixed = scratch.save(_permuted(entities.withColumn("space", _space()).join(F.broadcast(dense), ["type", "space"]), key), "permuted")
+        given = fixed.select("type", F.col("surrogate").alias("s"), "canon", "surrogate")
+        todo = scratch.save(entities.join(fixed, ["type", "canon"], "left_anti"), "drawn")
     while turn == 0 or not todo.isEmpty():
         if turn >= MOST_ROUNDS:
             raise ValueError("an entity type has more members than its format has surrogates")

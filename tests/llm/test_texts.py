@@ -204,6 +204,24 @@ def test_collisions_are_drawn_again(spark):
     assert out == {r.canon: r.surrogate.lower() for r in pii.surrogates(Scratch(spark), entities.repartition(3), "k").collect()}
 
 
+def test_surrogates_never_run_out(spark, monkeypatch):
+    """More family names than three or four syllables spell; every private address; all of a short kind."""
+    from lodestone.llm.common import Scratch
+
+    monkeypatch.setitem(pii.SYLLABLES, "latin", pii.SYLLABLES["latin"][:3])
+    rows = [("name.latin.s", f"name{k}") for k in range(500)]
+    rows += [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)] + [("ip", "10.0.0.1"), ("ip", "8.8.8.8")]
+    rows += [("phone", f"+49{k:05}") for k in range(100000)] + [("phone", "+4912345678")]
+    rows += [("secret", x) for x in ["******", *(f"*****{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")]]
+    entities = spark.createDataFrame(rows, "type string, canon string")
+    out = pii.surrogates(Scratch(spark), entities, "k").collect()
+    assert sorted((r.type, r.canon) for r in out) == sorted(rows) and len({(r.type, r.surrogate.lower()) for r in out}) == len(rows)
+    own = {(r.type, r.canon): r.surrogate for r in out}
+    assert all(own[t, c].startswith("192.168.") == c.startswith("192.168.") for t, c in rows if t == "ip") and own["ip", "10.0.0.1"].startswith("10.")
+    assert all(own[t, c][:3] == "+49" and len(own[t, c]) == len(c) for t, c in rows if t == "phone") and own["secret", "******"] != "******"
+    assert sum(c == own[t, c] for t, c in rows) < 20
+
+
 # -- WARC --------------------------------------------------------------------------------------------
 
 
