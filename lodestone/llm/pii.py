@@ -98,7 +98,7 @@ def _suspect(text: Column) -> Column:
     possible = text.rlike("[0-9@=:]") | text.contains("AKIA")
     titles = [t for own in TITLES.values() for t in own]
     first = "".join(sorted({t[0] for t in titles}))
-    named = text.rlike(rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])(?:{'|'.join(titles)})\.?[ \u00A0]\p{{Lu}}\p{{L}}")
+    named = text.rlike(rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])(?:{'|'.join(titles)})\.?[ \u00A0]\p{{Lu}}[\p{{L}}'’\-]")
     return (possible & text.rlike(_ENTITY)) | named
 
 
