@@ -21,7 +21,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d{1,2})"
 #: begin at the beginning of a word, so that matching is linear in the text.
 _ENTITY = (
     r"(?<![A-Za-z0-9])(?:"
-    r"(?:[Pp]assword|PASSWORD|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6,256}"
+    r"(?:[Pp]assword|PASSWORD|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']++"
     r"|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
     r"|[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
     rf"|(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])"
@@ -104,7 +104,7 @@ def _suspect(text: Column) -> Column:
 
 def _kind(piece: Column) -> Column:
     """The type of a marked piece, from its letter or its form."""
-    x = F.substring(piece, 2, 1 << 20)
+    x = F.substring(piece, F.lit(2), F.length(piece))
     digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
     own = (
         F.when(x.rlike(_SECRET), "secret").when(x.contains("@"), "email").when(x.startswith("AKIA"), "key")
@@ -118,7 +118,7 @@ def _kind(piece: Column) -> Column:
 
 def _canon(piece: Column, kind: Column) -> Column:
     """What all mentions of an entity have in common."""
-    x = F.substring(piece, 2, 1 << 20)
+    x = F.substring(piece, F.lit(2), F.length(piece))
     return (
         F.when(kind == "secret", F.regexp_replace(x, _SECRET, ""))
         .when(kind == "email", F.lower(x)).when(kind == "key", x).when(kind == "ip", F.regexp_replace(x, r"\b0(?=\d)", ""))
@@ -149,11 +149,13 @@ def _like(text: Column) -> Column:
     def other(c: Column, i: Column) -> Column:
         b = _byte(i)
         return (
-            F.when(hexes, F.lower(F.hex(b % 16))).when(c.rlike("[0-9]"), F.char(b % 10 + 48)).when(c.rlike("[a-z]"), F.char(b % 26 + 97))
+            F.when(c.rlike("[0-9]"), F.char(b % 10 + 48)).when(c.rlike("[a-z]"), F.char(b % 26 + 97))
             .when(c.rlike("[A-Z]"), F.char(b % 26 + 65)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), other), "")
+    # what holds for the whole text is asked outside, so that long texts take linear time
+    put = lambda f: F.array_join(F.transform(F.split(text, ""), f), "")
+    return F.when(hexes, put(lambda c, i: F.lower(F.hex(_byte(i) % 16)))).otherwise(put(other))
 
 
 def _country() -> Column:
@@ -291,7 +293,7 @@ def surrogates(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
 
 def _render(piece: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the surface."""
-    x = F.substring(piece, 2, 1 << 20)
+    x = F.substring(piece, F.lit(2), F.length(piece))
 
     def filled(kept: str) -> Column:
         letters = F.regexp_replace(surrogate, f"[^{kept}]", "")
@@ -309,7 +311,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, *, key: str = KEY, counte
     """docs in all their columns, surrogates in place of entities in text, and, if counted, n_entities as the last.
 
     Found are e-mail addresses, phone, card, social-security and IBAN numbers, IPv4 addresses, access
-    keys, values given to password, token and the like, and names after a title. Equal canonical
+    keys, values of any length given to password, token and the like, and names after a title. Equal canonical
     forms get equal surrogates throughout the corpus, distinct ones distinct. Names keep gender and
     script, numbers their separators, country and card brand and a valid Luhn digit, e-mail and names
     their case; hex secrets stay hex. Null and empty texts stay as they are. Rows that repeat an id,

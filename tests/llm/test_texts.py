@@ -232,6 +232,15 @@ def test_what_is_marked_is_suspected(spark):
     assert [out[i].n_entities for i in range(4)] == [1] * 4 and not any(x in out[i].text for i, x in enumerate(["O'Brien", "D'Angelo", "O’Neill", "X-Ray"]))
 
 
+def test_whole_secrets(spark):
+    """Values of any length go to their last character."""
+    values = ["z9", "abc12", "Kq7." * 250, "Kq7." * 250 + "END", "Kq7." * 10_000 + "END"]
+    df = spark.createDataFrame([(i, f'say token="{v}" and pwd: {v}\nend') for i, v in enumerate(values)], "doc_id int, text string")
+    for r in pii.pseudonymise(spark, df).collect():
+        own = re.fullmatch(r'say token="(\S+)" and pwd: (\S+)\nend', r.text).groups()
+        assert r.n_entities == 2 and own[0] == own[1] != values[r.doc_id] and len(own[0]) == len(values[r.doc_id]) and "END" not in own[0] and "Kq7.Kq7." not in own[0]
+
+
 # -- WARC --------------------------------------------------------------------------------------------
 
 
