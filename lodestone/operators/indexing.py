@@ -71,6 +71,7 @@ class Index:
         if missing := [t for t in terms if t not in self.asked]:
             if len(self.asked) > 10_000:
                 self.asked.clear()
+                missing = list(dict.fromkeys(terms))  # those remembered until now are forgotten too
             rows = self.vocab.where(F.col("term").isin(missing)).select("term", "df").collect()
             self.asked.update(dict.fromkeys(missing, 0) | {r["term"]: r["df"] for r in rows})
         return {t: self.asked[t] for t in terms if self.asked.get(t)}

@@ -130,3 +130,12 @@ def test_version(index, spark, tmp_path):
 def test_percentile(spark):
     df = spark.createDataFrame([(float(x),) for x in (15, 20, 35, 40, 50)], "x double")
     assert df.agg(E.percentile("x", 0.5).alias("p")).first().p == 35 and df.limit(0).agg(E.percentile("x", 0.5).alias("p")).first().p == 0
+
+
+def test_forgotten_terms_are_read_again(spark):
+    """A query's terms count the same however many were asked before."""
+    vocab = spark.createDataFrame([("one", 3), ("two", 5)], "term string, df long")
+    index = I.Index(vocab, vocab, vocab, vocab, 9, 1.0)
+    assert index.doc_freqs(["one"]) == {"one": 3}
+    index.asked.update({f"x{k}": 0 for k in range(10_001)})
+    assert index.doc_freqs(["one", "two", "none"]) == {"one": 3, "two": 5} and len(index.asked) == 3
