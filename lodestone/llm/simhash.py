@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import Scratch, read_table
 from lodestone.llm.components import connected
@@ -87,6 +88,24 @@ def links(prints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _with_print(batches):
+    for batch in batches:
+        prints = [fingerprint(None if x is None else x.encode()) for x in batch.column("text").to_pylist()]
+        yield batch.append_column("_fp", pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
+
+
+def _labelled(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint; root tells components apart."""
+    prints = scratch.save(fingerprints(docs), "prints")
+    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = connected(scratch, links(classes.select("fp")))
+    members = scratch.save(roots.join(classes, roots["node"] == classes["fp"]).select("fp", "root", "first"), "members")
+    named = scratch.save(members.groupBy("root").agg(F.min("first").alias("component_id")), "named")
+    linked = scratch.save(members.join(named, "root").select("fp", "root", "component_id"), "linked")
+    labels = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return prints, scratch.save(labels, "class_labels")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
@@ -96,15 +115,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     linking but never names a component; if no id is in reach, component_id is null. Other columns
     of docs are ignored; an empty table gives an empty result.
     """
-    scratch = Scratch(spark)
-    prints = scratch.save(fingerprints(docs), "prints")
-    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected(scratch, links(classes.select("fp")))
-    members = scratch.save(roots.join(classes, roots["node"] == classes["fp"]).select("fp", "root", "first"), "members")
-    named = scratch.save(members.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    linked = scratch.save(members.join(named, "root").select("fp", "component_id"), "linked")
-    labels = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    labels = scratch.save(labels, "class_labels")
+    prints, labels = _labelled(Scratch(spark), docs)
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(labels, "fp").select("doc_id", text, "component_id")
 
@@ -112,11 +123,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays.
 
-    Of rows that repeat an id one stays; rows without an id cannot be told apart and all stay.
+    Rows that repeat an id are told apart by their fingerprints: of one component one row stays, of
+    unlike texts one each. Rows without an id cannot be told apart and all stay.
     """
-    groups = Scratch(spark).save(near_duplicates(spark, docs), "groups")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    scratch = Scratch(spark)
+    prints, labels = _labelled(scratch, docs)
+    firsts = prints.join(labels, "fp").where("doc_id = component_id")
+    kept = scratch.save(firsts.groupBy("doc_id", "root").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"), "kept")
+    clash = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    clash = scratch.save(clash.where("a < b").select("doc_id"), "clash")
+    named = docs.where("doc_id IS NOT NULL")
+    found = named.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    if clash.isEmpty():
+        found = found.dropDuplicates(["doc_id"])
+    else:
+        unlike = named.join(clash, "doc_id", "left_semi").select(docs.columns)
+        unlike = unlike.mapInArrow(_with_print, T.StructType([*unlike.schema.fields, T.StructField("_fp", T.LongType())]))
+        unlike = unlike.join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(docs.columns)
+        found = found.join(clash, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unlike)
     return found.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 

@@ -91,6 +91,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Rows that share an id but not their text stay, unless they are copies of another document."""
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.getrandbits(20)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, b), (5, c), (5, a), (5, c), (7, d), (7, d), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    assert sorted(map(tuple, simhash.keep_one(spark, docs).collect())) == sorted([(1, a), (5, b), (5, c), (7, d)])
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors(spark, block):
     rng = np.random.default_rng(7)
