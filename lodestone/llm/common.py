@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """A folder's file system and path, for workers that read or write files there themselves."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -57,11 +64,24 @@ class Scratch:
             self._path(f"{self.root}/{name}", lambda fs, path: fs.delete(path, True))
 
 
+#: Parts into which hashes are dealt for sampling: far more than any table has rows.
+_PARTS = 1 << 52
+
+
+def hash_share(key: Column, salt: str, share: float | Column) -> Column:
+    """True for about `share` of the values of a key, by its hash, so that every run takes the same."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_PARTS)) < F.lit(share) * F.lit(float(_PARTS))
+
+
 def sample_by_hash(df: DataFrame, key: str, bound: int, salt: str) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the key, so that every run takes the same."""
-    share = min(1.0, bound / max(1, df.count()))
-    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1_000_000))
-    return df.where(part < int(share * 1_000_000))
+    """About `bound` rows of a table with distinct keys, however large it is."""
+    return df.where(hash_share(F.col(key), salt, min(1.0, bound / max(1, df.count()))))
+
+
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, the least one: rows that repeat an id don't make a bounded sample grow."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
 def labelled(labels: DataFrame, column: str) -> DataFrame:

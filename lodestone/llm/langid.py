@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, in_fold, read_table, sample_by_hash
+from lodestone.llm.common import Scratch, hash_share, in_fold, one_each, read_table
 
 WIDTH = 2048
 NGRAMS = (1, 2, 3)
@@ -22,9 +23,8 @@ UNKNOWN = "und"
 _BREAK = 0x20
 
 
-def _letter(points: np.ndarray) -> np.ndarray:
-    """ASCII letters, and what lies beyond Latin-1's signs and outside general punctuation."""
-    return (points >= 97) & (points <= 122) | (points >= 0xC0) & ~((points >= 0x2000) & (points < 0x2C00)) & ~((points >= 0x3000) & (points < 0x3040))
+#: Whether a code point is a letter, which also decides what is `und`.
+_IS_LETTER = np.fromiter((chr(p).isalpha() for p in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 def grams(text: str | None, block: int = 1 << 18) -> np.ndarray:
@@ -37,7 +37,7 @@ def grams(text: str | None, block: int = 1 << 18) -> np.ndarray:
     for start in range(0, len(text), block):
         part = text[max(0, start - max(NGRAMS) + 1) : start + block].lower()
         points = np.frombuffer(part.encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
-        own = np.where(_letter(points), points, _BREAK)
+        own = np.where(_IS_LETTER[points], points, _BREAK)
         own = own[(own != _BREAK) | (np.concatenate(([0], own[:-1])) != _BREAK)]
         for n in NGRAMS:
             mixed = np.full(max(0, len(own) - n + 1), n, dtype=np.uint32)
@@ -107,11 +107,14 @@ def _examples(batches):
 
 
 def fit(spark: SparkSession, docs: DataFrame, *, sample: int = SAMPLE) -> Centroids:
-    """Learn from text and lang of documents outside the fold crc32(doc_id) mod 3 = 1."""
+    """Learn from text and lang of documents outside the fold crc32(doc_id) mod 3 = 1.
+
+    About `sample` ids are learned from, one row each.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", 3, 1))
     known = known.select(F.col("doc_id").cast("long"), "lang", "text")
-    chosen = Scratch(spark).save(sample_by_hash(known.select("doc_id"), "doc_id", sample, "langid").distinct(), "chosen")
-    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
+    share = min(1.0, sample / max(1, known.count()))
+    rows = one_each(known.where(hash_share(F.col("doc_id"), "langid", share)), "doc_id")
     found = sorted(rows.mapInArrow(_examples, "doc_id long, lang string, x binary").collect())
     counts = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), WIDTH)
     return train(counts, [r["lang"] for r in found])

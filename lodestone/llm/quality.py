@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, in_fold, labelled, read_table, sample_by_hash
+from lodestone.llm.common import Scratch, in_fold, labelled, one_each, read_table, sample_by_hash
 from lodestone.llm.simhash import word_blocks
 
 #: Labelled rows that training uses at most, chosen by a hash of the id. Scoring has no bound.
@@ -146,12 +146,13 @@ def _examples(batches):
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Forest:
     """Train on documents outside the fold crc32(doc_id) mod 5 = 0.
 
-    Without labelled rows of both classes the forest is empty and scores the share of label 1.
+    Without labelled rows of both classes the forest is empty and scores the share of label 1. Of
+    rows that repeat an id one is learned from.
     """
     known = labelled(labels.where(~in_fold("doc_id", 5, 0)), "quality")
     chosen = Scratch(spark).save(sample_by_hash(known, "doc_id", sample, "quality"), "chosen")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = sorted(rows.select("doc_id", "y", "text").mapInArrow(_examples, "doc_id long, y int, x array<double>").collect())
+    found = sorted(one_each(rows.select("doc_id", "y", "text"), "doc_id").mapInArrow(_examples, "doc_id long, y int, x array<double>").collect())
     x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
     return train(x, np.array([r["y"] for r in found], dtype=np.float64))
 
