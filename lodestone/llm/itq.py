@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,29 @@ from lodestone.llm.common import Scratch, read_table, sample_by_hash
 from lodestone.llm.components import connected
 
 LEAST = 0.98
-BITS, SEGMENT = 64, 16
-#: Vectors from which the rotation is learned, by a hash of the id; every vector is indexed.
+#: Vectors from which the rotation is learned, by a hash of the vector; every vector is indexed.
 SAMPLE = 8000
 ROUNDS = 30
 #: Rows of a bucket up to which it is compared as one block.
 BLOCK = 1024
+#: The share of pairs right at the threshold that the tables may miss, if bits differ independently.
+MISSED = 0.005
 
 
-def learn(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def layout(rows: int, least: float = LEAST) -> tuple[int, int]:
+    """(segments, bits of each) of the codes of so many vectors.
+
+    A segment has two bits more than it takes to number the vectors, so that unlike vectors seldom
+    meet in a bucket, and there are as many segments as it takes for all but MISSED of the pairs of
+    cosine `least` to agree in one. Two vectors differ in a bit with the probability of their angle
+    over pi. Both grow with the logarithm of the rows, and so do the work and bytes of a row.
+    """
+    bits = min(30, max(12, math.ceil(math.log2(max(2, rows))) + 2))
+    agree = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return max(2, math.ceil(math.log(MISSED) / math.log1p(-agree))) if agree < 1 else 2, bits
+
+
+def learn(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) for codes (v - mean) @ projection > 0, by ITQ over unit vectors x.
 
     PCA to at most `bits` dimensions, then the rotation that brings the sample closest to the
@@ -43,57 +58,61 @@ def learn(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = (x - mean) @ projection > 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
-
-
-def _prepared(batches):
-    """(vec_id, label, dim, key, unit): key and unit are null where the vector links with nothing."""
-    for batch in batches:
-        rows = []
-        for vec_id, vector, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            values = vector.values if vector.is_valid else None
-            key = unit = dim = None
-            if values is not None and len(values) and not values.null_count and label is not None and vec_id is not None:
-                v = np.asarray(values, dtype=np.float64) + 0.0
-                top = np.abs(v).max()
-                if np.isfinite(top) and top > 0:
-                    key = hashlib.md5(b"%d|%d|" % (label, len(v)) + v.tobytes()).digest()
-                    v = v / top  # neither huge nor tiny components overflow the norm
-                    unit, dim = (v / np.linalg.norm(v)).tobytes(), len(v)
-            rows.append((vec_id, label, dim, key, unit))
-        if rows:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["vec_id", "label", "dim", "key", "unit"])
-
-
-def _padded(units: list[bytes], dim: int) -> np.ndarray:
-    x = np.zeros((len(units), dim))
-    for row, unit in zip(x, units):
-        v = np.frombuffer(unit)
+def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, segments): the code of each row, cut into numbers of `bits` bits."""
+    parts = ((x - mean) @ projection > 0).reshape(len(x), projection.shape[1] // bits, bits)
+    return parts @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _prepared(kind: str):
+    """(vec_id, label, dim, key, vector) in batches; key and vector are null where it links with nothing.
+
+    Vectors are kept as bytes in the table's own precision.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for vec_id, vector, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                values = vector.values if vector.is_valid else None
+                key = data = dim = None
+                if values is not None and len(values) and not values.null_count and label is not None and vec_id is not None:
+                    v = np.asarray(values, dtype=kind) + np.dtype(kind).type(0)  # one zero, not two
+                    top = np.abs(v).max()
+                    if np.isfinite(top) and top > 0:
+                        data, dim = v.tobytes(), len(v)
+                        key = hashlib.md5(b"%d|%d|" % (label, dim) + data).digest()
+                rows.append((vec_id, label, dim, key, data))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["vec_id", "label", "dim", "key", "vector"])
+
+    return run
+
+
+def _units(vectors: list[bytes], kind: str, dim: int) -> np.ndarray:
+    """Unit vectors in double precision; shorter ones are filled up with zeros."""
+    x = np.zeros((len(vectors), dim))
+    for row, data in zip(x, vectors):
+        v = np.frombuffer(data, kind)
         row[: len(v)] = v
-    return x
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0.0)  # neither huge nor tiny components overflow the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _compare(group: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, links, root) of those of one block that link with another of it.
+    """(node, links, root) of those of one block that link with another of it.
 
-    A pair is looked at in one bucket only: that of the first segment in which its codes differ in
-    one bit at most, under the value that both look up there. links counts vectors, copies included.
+    A pair is looked at in one bucket only: that of the first segment in which its codes agree.
+    links counts vectors, copies included.
     """
-    n = len(group["id"])
+    n = len(group["node"])
     linked = group["unit"] @ group["unit"].T >= least
-    linked &= group["in_table"][:, None] | group["in_table"][None, :]
-    linked &= group["id"][:, None] != group["id"][None, :]
+    np.fill_diagonal(linked, False)
     if group["left"] != group["right"]:
         linked &= group["chunk"][:, None] != group["chunk"][None, :]
-    i, j = np.nonzero(linked)
-    if len(i):
-        apart = (group["code"][i] ^ group["code"][j]).view(np.uint64)
-        for s in range(group["segment"]):
-            earlier = np.bitwise_count(apart >> np.uint64(s * SEGMENT) & np.uint64((1 << SEGMENT) - 1)) <= 1
-            linked[i[earlier], j[earlier]] = False
+    for part in group["code"].T[: group["segment"]]:
+        linked &= part[:, None] != part[None, :]
     links = linked @ group["copies"]
     root = np.arange(n)
     while True:  # the smallest position in reach
@@ -102,26 +121,28 @@ def _compare(group: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np
             break
         root = lower
     has = links > 0
-    return group["id"][has], links[has], group["id"][root][has]
+    return group["node"][has], links[has], group["node"][root][has]
 
 
-def _blocks(least: float):
+def _blocks(least: float, kind: str):
+    """Rows sorted by block, in batches of any size, to the links of each block."""
     names = ["label", "dim", "segment", "value", "left", "right"]
 
-    def run(batches):
-        def settle(rows: pa.Table):
-            keys = np.stack([rows.column(c).to_numpy() for c in names])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            columns = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "code", "in_table", "chunk", "copies", "unit")}
-            found = []
-            for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [rows.num_rows]))):
-                if b - a > 1:
-                    group = {c: x[a:b] for c, x in columns.items() if c != "unit"}
-                    group |= {"unit": np.stack([np.frombuffer(u) for u in columns["unit"][a:b]]), "segment": int(keys[2, a]), "left": keys[4, a], "right": keys[5, a]}
-                    found.append(_compare(group, least))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "links", "root"])
+    def settle(rows: pa.Table):
+        keys = np.stack([rows.column(c).to_numpy() for c in names])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        own = {c: rows.column(c).to_numpy() for c in ("node", "chunk", "copies")}
+        coded = rows.column("code").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        vectors = rows.column("vector").to_pylist()
+        found = []
+        for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [rows.num_rows]))):
+            if b - a > 1:
+                group = {c: x[a:b] for c, x in own.items()} | {"code": coded[a:b], "unit": _units(vectors[a:b], kind, int(keys[1, a]))}
+                found.append(_compare(group | {"segment": int(keys[2, a]), "left": keys[4, a], "right": keys[5, a]}, least))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "links", "root"])
 
+    def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -143,59 +164,61 @@ def _blocks(least: float):
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
-    Exact copies are one class, represented by its smallest vec_id. Every class stands in a table
-    under each 16-bit segment of its code and looks up the ball of radius one around it (by clearing
-    set bits, as of two values one bit apart one has that bit set), which finds all pairs of codes up
-    to seven bits apart. Buckets in which nothing can meet go before vectors are attached; a bucket
-    of many rows is cut into blocks that are compared two by two, so that no task holds more than
-    two blocks, and gives counts and a spanning forest, never its pairs.
+    Exact copies are one class, numbered when the table of classes is written. Every class stands in
+    a Hamming table under each segment of its code; codes of m segments that differ in fewer than m
+    bits always meet in one, and see layout() for the others. Buckets of one class go before vectors
+    are attached; a bucket of many rows is cut into blocks that are compared two by two, so that no
+    task holds more than two blocks, and gives counts and a spanning forest, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label or id, link with nothing and are their own component. Vectors of different lengths do not
-    link. Rows that repeat an id count as one vector each and share that id's component.
+    link. Rows that repeat an id are a vector each, with their own links; a component is named by the
+    smallest id in it. Other columns are ignored, and an empty table gives an empty result.
     """
     scratch = Scratch(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
-    rows = scratch.save(rows.mapInArrow(_prepared, "vec_id long, label long, dim int, key binary, unit binary"), "vectors")
-    valid = rows.where("key IS NOT NULL")
-    one = F.min_by(F.struct("label", "dim", "unit"), "vec_id").alias("v")
-    classes = valid.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), one)
-    classes = scratch.save(classes.select("key", "id", "copies", "v.*"), "classes")
-    dim = classes.agg(F.max("dim")).first()[0] or 1
-    sample = [r[0] for r in sample_by_hash(classes.select("id", "unit"), "id", SAMPLE, "itq").select("unit").collect()]
-    fitted = spark.sparkContext.broadcast(learn(_padded(sample, dim)))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind = "<f4" if single else "<f8"
+    given = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long"), given.alias("embedding"), F.col("label").cast("long"))
+    rows = scratch.save(rows.mapInArrow(_prepared(kind), "vec_id long, label long, dim int, key binary, vector binary"), "vectors")
+    one = F.min_by(F.struct("label", "dim", "vector"), "vec_id").alias("v")
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), one)
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("node"), "key", "first", "copies", "v.*"), "classes")
+    size = classes.agg(F.max("dim").alias("dim"), F.count("*").alias("n")).first()
+    dim, (segments, bits) = size["dim"] or 1, layout(size["n"], least)
+    sample = [r[0] for r in sample_by_hash(classes.select("key", "vector"), "key", SAMPLE, "itq").select("vector").collect()]
+    fitted = spark.sparkContext.broadcast(learn(_units(sample, kind, dim), segments * bits))
 
     def encode(batches):
         for batch in batches:
-            found = codes(_padded(batch.column(4).to_pylist(), dim), *fitted.value) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found)], names=["id", "copies", "label", "dim", "code"])
+            found = codes(_units(batch.column(4).to_pylist(), kind, dim), *fitted.value, bits)
+            code = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * segments), pa.array(found.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], code], names=["node", "copies", "label", "dim", "code"])
 
-    coded = classes.select("id", "copies", "label", "dim", "unit").mapInArrow(encode, "id long, copies long, label long, dim int, code long")
+    coded = classes.select("node", "copies", "label", "dim", "vector").mapInArrow(encode, "node long, copies long, label long, dim int, code array<int>")
     coded = scratch.save(coded, "codes")
 
-    value = lambda s: F.shiftrightunsigned("code", s * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int")
-    table = coded.select("*", F.posexplode(F.array(*[value(s) for s in range(BITS // SEGMENT)])).alias("segment", "value"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda k: F.getbit("value", k) == 1)
-    cleared = F.transform(bits, lambda k: F.struct((F.col("value") - F.pow(F.lit(2), k).cast("int")).alias("value"), F.lit(False).alias("in_table")))
-    places = F.concat(F.array(F.struct(F.col("value"), F.lit(True).alias("in_table"))), cleared)
-    placed = table.withColumn("at", F.explode(places)).select("id", "copies", "label", "dim", "code", "segment", "at.*")
+    table = coded.select("node", "label", "dim", F.posexplode("code").alias("segment", "value"))
     bucket = ["label", "dim", "segment", "value"]
-    sizes = placed.groupBy(*bucket).agg(F.count("*").alias("n"), F.max("in_table").alias("held")).where("n > 1 AND held")
-    sizes = scratch.save(sizes.select(*bucket, "n"), "sizes")
+    sizes = scratch.save(table.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     parts = F.ceil(F.col("n") / block).cast("int")
-    live = placed.join(sizes, bucket).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), parts).cast("int"))
+    live = table.join(sizes, bucket).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), parts).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     live = live.withColumns({"left": F.least("chunk", "other"), "right": F.greatest("chunk", "other")}).drop("n", "other")
     live = scratch.save(live, "live")
     block_key = [*bucket, "left", "right"]
     # only now do vectors come along, for the places where something can meet
-    full = live.join(classes.select("id", "unit"), "id").repartition(*block_key).sortWithinPartitions(*block_key)
-    found = scratch.save(full.mapInArrow(_blocks(least), "id long, links long, root long"), "found")
-    counts = scratch.save(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-    roots = connected(scratch, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "id", "copies").join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
-    labels = named.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    labels = scratch.save(labels, "class_labels")
+    carried = coded.select("node", "copies", "code").join(classes.select("node", "vector"), "node")
+    full = live.join(carried, "node").repartition(*block_key).sortWithinPartitions(*block_key)
+    found = scratch.save(full.mapInArrow(_blocks(least, kind), "node long, links long, root long"), "found")
+    counts = scratch.save(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    roots = connected(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    firsts = classes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    firsts = scratch.save(firsts, "components")
+    named = scratch.save(roots.join(firsts, "root").select("node", "component_id"), "named")
+    labels = classes.select("node", "key", "first", "copies").join(counts, "node", "left").join(named, "node", "left")
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    labels = scratch.save(labels.select("key", n_links.alias("n_links"), F.coalesce("component_id", "first").alias("component_id")), "class_labels")
     out = rows.select("vec_id", "key").join(labels, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

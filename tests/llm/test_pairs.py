@@ -58,6 +58,29 @@ def test_components(spark):
     assert connected(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """A path of rising numbers takes one round, and any graph at most the logarithm of its nodes."""
+    saved = []
+    scratch = Scratch(spark)
+    monkeypatch.setattr(scratch, "save", lambda df, name: (saved.append(name), Scratch.save(scratch, df, name))[1])
+    rng = random.Random(11)
+    shuffled = rng.sample(range(10_000, 11_000), 1000)
+    star = [(30_000, 20_000 + i) for i in range(50)]  # the middle is greater than all others
+    links = [(i, i + 1) for i in range(3999)] + list(zip(shuffled, shuffled[1:])) + star
+    found = connected(scratch, spark.createDataFrame(links, "a long, b long").repartition(4))
+    assert {r.node: r.root for r in found.collect()} == components({n for link in links for n in link}, links)
+    rounds = sum(name.startswith("least") for name in saved)
+    assert rounds <= 10 and sum(name.startswith("parent0_") for name in saved) <= 15
+
+
+def test_components_of_a_rising_path(spark, monkeypatch):
+    saved = []
+    scratch = Scratch(spark)
+    monkeypatch.setattr(scratch, "save", lambda df, name: (saved.append(name), Scratch.save(scratch, df, name))[1])
+    found = connected(scratch, spark.createDataFrame([(i, i + 1) for i in range(4000)], "a long, b long"))
+    assert {r.root for r in found.collect()} == {0} and sum(name.startswith("least") for name in saved) == 1 and len(saved) <= 20
+
+
 def test_links(spark):
     rng = random.Random(5)
     prints = {rng.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1}
@@ -121,8 +144,41 @@ def test_vectors(spark, block):
     assert itq.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Unlike vectors of one id each have their own links; the component is the id's."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 24))
+    rows = [(5, a.tolist(), 1), (5, b.tolist(), 1), (7, (a + 0.01 * rng.normal(size=24)).tolist(), 1), (8, (b + 0.01 * rng.normal(size=24)).tolist(), 1), (5, a.tolist(), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, itq.near_duplicates(spark, df).collect())) == [(5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_at_the_threshold(spark, kind):
+    """Of pairs right above the threshold at least nine tenths are found, and none below it."""
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.975, 0.985, size=(1500, 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * aside)))]
+    found = {r.vec_id: r.n_links for r in itq.near_duplicates(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()}
+    near = [i for i in range(1500) if cosine[i] > 0.98 + 1e-6]
+    assert sum(found[i] for i in near) >= 0.97 * len(near) and not any(found[i] for i in range(1500) if cosine[i] < 0.98 - 1e-6)
+
+
+def test_layout_of_codes():
+    """Segments and bits grow with the logarithm of the vectors."""
+    sizes = [itq.layout(n) for n in (0, 1, 10_256, 51_282, 10**9)]
+    assert sizes[0] == sizes[1] and sizes[2][1] == 16 and sizes[3][1] == 18 and sizes[4][1] <= 32 and sizes[4][0] <= 50
+    assert itq.layout(100, 1.0) == (2, 12)
+
+
 def test_itq_codes_are_balanced():
     x = np.random.default_rng(8).normal(size=(500, 16)) + 3
     mean, projection = itq.learn(x)
-    bits = np.unpackbits(itq.codes(x, mean, projection).view(np.uint8).reshape(-1, 8), axis=1)
-    assert projection.shape == (16, 64) and 0.4 < bits.mean() < 0.6
+    coded = itq.codes(x, mean, projection, 8)
+    bits = coded[:, :, None] >> np.arange(8) & 1
+    assert projection.shape == (16, 64) and coded.shape == (500, 8) and 0.4 < bits.mean() < 0.6
