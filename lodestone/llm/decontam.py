@@ -5,17 +5,24 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import Scratch, open_folder, read_table
 
 #: Consecutive item words that make a window; a shorter item is one window as a whole.
 WINDOW = 10
-#: Bytes of item text that one automaton may hold; larger benchmarks are read in several passes.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of item words that one automaton may hold (some hundred times as many in memory); larger
+#: benchmarks are read in parts. Bytes of documents that are held while all parts go over them.
+AUTOMATON_BYTES = 1 << 20
+HELD_BYTES = 32 << 20
+#: Bytes of an item's words in one piece; pieces of a longer item overlap, so that no window is lost.
+PIECE_BYTES = 64 << 10
 #: A document of which more than this share of words is hit goes as a whole.
 COVERAGE = 0.8
 
@@ -176,7 +183,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], coverage: float, longest: int) -> bytes | None:
-    """text without the spans that exceed `longest` words; None if they cover more than `coverage`."""
+    """text without the spans of at least `longest` words; None if they cover more than `coverage`."""
     spans = [s for s in spans if s[1] - s[0] >= longest] if longest else spans
     if not spans:
         return text
@@ -193,17 +200,54 @@ def _cut(text: bytes, spans: list[tuple[int, int]], coverage: float, longest: in
     return b"".join(kept) + text[at:]
 
 
-def _passes(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items, in lists of about `limit` bytes: all of them in one, as a rule.
+def pieces(words: list[bytes], limit: int, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """The words of an item in lists of about `limit` bytes, which share all but one word of a window."""
+    start = size = 0
+    for i, word in enumerate(words):
+        size += len(word) + 1
+        if size >= limit and i + 1 - start >= window and len(words) - i - 1:
+            yield words[start : i + 1]
+            start = i + 2 - window
+            size = sum(len(w) + 1 for w in words[start : i + 1])
+    if words:
+        yield words[start:]
 
-    A null item_id becomes an empty string in the digest of ids.
+
+def _pieces(batches):
+    for batch in batches:
+        rows = [(i, b" ".join(p)) for i, text in zip(*(c.to_pylist() for c in batch.columns)) for p in pieces(words_of(text), PIECE_BYTES)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["item_id", "words"])
+
+
+def parts_of(spark: SparkSession, benchmark: DataFrame, limit: int) -> list[str]:
+    """Folders, in the shared folder, of the benchmark's items in parts of about `limit` bytes: one, as a rule.
+
+    Items go from table to table; the driver learns their number of bytes. A null item_id becomes an
+    empty string in the digest of ids.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = size // limit + 1
+    scratch = Scratch(spark)
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary"))
-    for k in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield [(r[0], bytes(r[1])) for r in part.collect() if r[1]]
+    rows = scratch.save(rows.mapInArrow(_pieces, "item_id string, words binary").distinct(), "pieces")
+    parts = (rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // limit + 1
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)).cast("int"))
+    path = f"{scratch.root}/parts"
+    dealt.repartition(parts, "part").write.partitionBy("part").parquet(path)
+    return [f"{path}/part={k}" for k in range(parts)]
+
+
+@lru_cache(maxsize=1)
+def automaton_of(folder: str) -> Automaton:
+    """The automaton of one part, which a worker keeps from task to task, until it needs another."""
+    files, path = open_folder(folder)
+    items: list[tuple[str, bytes]] = []
+    if files.get_file_info(path).type == fs.FileType.Directory:  # a part may have no rows
+        for info in files.get_file_info(fs.FileSelector(path)):
+            if info.base_name.endswith(".parquet"):
+                with files.open_input_file(info.path) as source:
+                    table = pq.read_table(source, columns=["item_id", "words"])
+                items += zip(*(c.to_pylist() for c in table.columns))
+    return Automaton(sorted(items))
 
 
 _FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans array<struct<first: long, end: long>>"
@@ -222,7 +266,7 @@ def _found(rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> dict[str,
     }
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, limit: int = AUTOMATON_BYTES, cut: bool = False, coverage: float = COVERAGE, longest: int = 0) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, limit: int = AUTOMATON_BYTES, cut: bool = False, coverage: float = COVERAGE, longest: int = 0, held: int = HELD_BYTES) -> DataFrame:
     """docs' rows with what of them occurs in the benchmark.
 
     Without `cut`: doc_id, n_words, n_hit, n_items, items_sha256, items, spans (word numbers).
@@ -231,52 +275,66 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     words and stays null; an empty benchmark hits nothing; items without words make no window.
     Repeated items and ids count once; extra columns are kept (cut) or ignored.
 
-    The automaton goes to the executors by broadcast. It holds `limit` bytes of items at most: of a
-    larger benchmark each pass over a text loads the next part, and a text's spans are merged, so
-    that no item is left out and memory stays bounded.
+    Workers read the items from the shared folder and hold the automaton of one part, of `limit`
+    bytes of items. If there are more parts, a task gathers about `held` bytes of documents, scans
+    them with one part after the other, and merges each text's spans; every part is built once for
+    so many bytes. No item is left out, and memory depends on neither table's size.
     """
-    benchmark = benchmark.select("item_id", "text")
-    parts = [spark.sparkContext.broadcast(items) for items in _passes(benchmark, limit)]
+    folders = parts_of(spark, benchmark.select("item_id", "text"), limit)
     if cut:
         schema, columns = docs.schema, docs.columns
         at = columns.index("text")
     else:
         docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-        schema, at = f"doc_id long, {_FOUND}", 1
+        schema, at, columns = f"doc_id long, {_FOUND}", 1, []
 
-    def scanned(texts: list[bytes | None], machines: list[Automaton | None]) -> list:
+    def scanned(texts: list[bytes | None]) -> list:
         rows = [(0, [], set()) for _ in texts]
-        for k, part in enumerate(parts):
-            machine = machines[k] or Automaton(part.value)
-            machines[k] = machine if len(parts) == 1 else None
+        for folder in folders:
+            machine = automaton_of(folder)
             for i, text in enumerate(texts):
                 n, spans, items = scan(machine, text)
                 rows[i] = (n, _merge(rows[i][1] + spans) if rows[i][1] else spans, rows[i][2] | items)
         return rows
 
-    def find(batches):
-        machines: list[Automaton | None] = [None] * len(parts)
+    def gathered(batches):
+        """The batches as they come, or, for several parts, many at once."""
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            found = _found(scanned(batch.column(1).to_pylist(), machines))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **found})
+            waiting.append(batch)
+            if len(folders) == 1 or sum(x.nbytes for x in waiting) >= held:
+                yield waiting
+                waiting = []
+        if waiting:
+            yield waiting
+
+    def find(batches):
+        for group in gathered(batches):
+            found = scanned([t for batch in group for t in batch.column(1).to_pylist()])
+            for batch in group:
+                own, found = found[: batch.num_rows], found[batch.num_rows :]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **_found(own)})
 
     def remove(batches):
-        machines: list[Automaton | None] = [None] * len(parts)
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
+        for group in gathered(batches):
+            texts = [t for batch in group for t in batch.column(at).cast(pa.binary()).to_pylist()]
             cleaned: list[bytes | None] = list(texts)
             todo = [i for i, t in enumerate(texts) if t]
             while todo:  # what remains on both sides of a cut may make another window
-                found = scanned([cleaned[i] for i in todo], machines)
+                found = scanned([cleaned[i] for i in todo])
                 before, todo = [(i, cleaned[i], hit[1]) for i, hit in zip(todo, found) if hit[1]], []
                 for i, text, spans in before:
                     cleaned[i] = _cut(text, spans, coverage, longest)
                     if cleaned[i] and cleaned[i] != text:
                         todo.append(i)
-            stays = pa.array([t is None or c is not None for t, c in zip(texts, cleaned)], pa.bool_())
-            text = pa.array([None if c is None else c.decode("utf-8", "replace") for c in cleaned], pa.string())
-            arrays = [text if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(stays)
+            start = 0
+            for batch in group:
+                old, new = texts[start : start + batch.num_rows], cleaned[start : start + batch.num_rows]
+                start += batch.num_rows
+                stays = pa.array([t is None or c is not None for t, c in zip(old, new)], pa.bool_())
+                text = pa.array([None if c is None else c.decode("utf-8", "replace") for c in new], pa.string())
+                arrays = [text if i == at else batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(stays)
 
     return docs.mapInArrow(remove if cut else find, schema)
 
