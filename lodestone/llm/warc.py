@@ -9,25 +9,22 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, read_table
+from lodestone.llm.common import Scratch, open_folder, read_table
 
 #: Shorter payloads are always archived whole.
 LEAST_SHARED = 100
 #: Bytes after which a task begins another archive; bytes of unwanted records that one read may
 #: take along; bytes of one read.
 ROLL, GAP, SPAN = 64 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that a reading task takes, and the least for which it is worth another task.
+TASK, SMALL_TASK = 64 << 20, 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-
-
 def _header(lines: Iterable[tuple[str, str | None]]) -> bytes:
     kept = (f"{k}: " + re.sub(r"[\r\n]+", " ", v) for k, v in lines if v is not None)
     return "\r\n".join(kept).encode() + b"\r\n\r\n"
@@ -153,7 +150,8 @@ def read(index: DataFrame, folder: str, *, payloads: bool = False) -> DataFrame:
     """The records that the rows of `index` select, parsed from the archives.
 
     The rows are dealt out by file and offset, so that every task reads its archives forward, in few
-    large ranges, whatever part of the records is asked for.
+    large ranges, whatever part of the records is asked for. The tasks are as many as the bytes of
+    the records call for, not those of the index, which is far smaller.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
@@ -170,10 +168,16 @@ def read(index: DataFrame, folder: str, *, payloads: bool = False) -> DataFrame:
                 found = [parse(data[o - start : o - start + n]) for o, n in members]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], types.get(c, pa.string())) for c in names], names=names)
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = reading_tasks(index.agg(F.sum("length")).first()[0] or 0, index.sparkSession.sparkContext.defaultParallelism)
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(fetch, schema)
 
 
+def reading_tasks(size: int, cores: int) -> int:
+    """TASK bytes each; fewer bytes, but SMALL_TASK at least, where cores would stand idle otherwise."""
+    return max(1, -(-size // TASK), min(cores, size // SMALL_TASK))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark).root}/warc"
     index = write(spark, read_table(spark, sf_dir, "pages"), folder)
