@@ -2,8 +2,9 @@
 
 The encoder reads a word's symbols from left to right and knows, for each position, the last token
 of the encoding of what lies before it: the longest token that ends there and that merging keeps
-apart from the last token before it. Where the back pointers of all positions that a coming token
-can start from meet, the encoding up to there cannot change any more; it is emitted and forgotten.
+apart from the last token before it. The merge list bounds how far behind a border symbols can stand
+that decide on it; once so many have been read, the tokens in front of it are emitted and forgotten.
+Words shorter than that are emitted at their end.
 """
 
 from __future__ import annotations
@@ -37,9 +38,31 @@ CACHE = 200_000
 _FINAL = 0x200  # of a word's last symbol, added to its byte
 _FIRST = 0x100  # of any other
 _LETTER = [chr(_FIRST + b) for b in range(256)]
-#: Symbols up to which a word is encoded in one go and cached.
+#: Characters up to which a word is encoded in one go and cached.
 SHORT = 64
 
+#: What this encoder does, as a tokenizer.json says it. Another setting is refused.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BEFORE = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def _check(spec: dict) -> None:
+    """Whether a tokenizer.json asks for what this encoder does; decode() has no decoder to run, so tokens are joined by spaces."""
+    found = {
+        "normalizer": spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMAL},
+        "pre_tokenizer": spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": _BEFORE},
+        "decoder": spec.get("decoder") is None,
+        "model": all(spec["model"].get(k) == v for k, v in _MODEL.items()) and bool(spec["model"].get("end_of_word_suffix")),
+        "added_tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]),
+    }
+    if wrong := [name for name, right in found.items() if not right]:
+        raise ValueError(f"the tokenizer's settings are others than this encoder's: {', '.join(wrong)}")
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it is printable."""
@@ -74,11 +97,12 @@ class Codec:
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
+        _check(spec)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.letters = _byte_letters()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         spelled = {i: t for t, i in (model["vocab"] | self.added).items()}
         self.names = [spelled.get(i, "") for i in range(max(spelled) + 1)]
         inner = {t: self._inner(t) for t in model["vocab"]}
@@ -95,8 +119,12 @@ class Codec:
         self.made = made
         self.right_edge = {i: self._edge(i, 2) for i in self.ids.values()}
         self.left_edge = {i: self._edge(i, 1) for i in self.ids.values()}
-        # a token that merging its own symbols does not give is never part of an encoding
-        self.ids = {s: i for s, i in self.ids.items() if i not in made or self._whole(i)}
+        # a token that merging its own symbols does not give, or that is made of such, is never part of an encoding
+        whole = {i for i in self.ids.values() if i not in made}
+        for token, (rank, a, b) in sorted(made.items(), key=lambda x: x[1]):
+            if a in whole and b in whole and self._apart(a, b, rank):
+                whole.add(token)
+        self.ids = {s: i for s, i in self.ids.items() if i in whole}
         self.ends = self._ends()
         self.lookahead = self._lookahead()
         self.kept, self.chunks, self.words = Recent(), Recent(), Recent()
@@ -117,10 +145,6 @@ class Codec:
             chain.append((step[side], step[0]))
         return chain[::-1]
 
-    def _whole(self, token: int) -> bool:
-        rank, a, b = self.made[token]
-        return self._apart(a, b, rank)
-
     def _apart(self, a: int, b: int, until: float = float("inf")) -> bool:
         """Whether no merge of a rank below `until` crosses the border between tokens a and b.
 
@@ -142,11 +166,12 @@ class Codec:
                 j += 1
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
-        """For each last symbol, the lengths of the tokens that end with it, the longest first."""
-        lengths: dict[str, set[int]] = {}
+        """For the last two symbols, or one, the lengths of the tokens that end with them, the longest first."""
+        lengths: dict[str, set[int]] = {token: {1} for token in self.ids if len(token) == 1}
         for token in self.ids:
-            lengths.setdefault(token[-1], set()).add(len(token))
-        return {symbol: tuple(sorted(found, reverse=True)) for symbol, found in lengths.items()}
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], set(lengths.get(token[-1], ()))).add(len(token))
+        return {symbols: tuple(sorted(found, reverse=True)) for symbols, found in lengths.items()}
 
     def _lookahead(self) -> int:
         """Symbols behind a border that can decide on it, by the merge list.
@@ -161,21 +186,22 @@ class Codec:
             reach[a] = max(reach.get(a, 0), 1 + max(reach.get(part, 0) for part in parts))
         return self.longest * max(reach.values(), default=1)
 
-    def transduce(self, symbols: str, buffer: int = 4096) -> Iterator[int]:
+    def transduce(self, symbols: Iterable[str], stride: int = 4096) -> Iterator[int]:
         """The ids of one word, emitted once they are stable.
 
-        Between emissions it holds the symbols since the last stable border, which the merge list's
-        lookahead bounds, and at most `buffer` more.
+        A token is stable when `lookahead` symbols behind it have been read. Those, at most `stride`
+        more, after which what is stable goes out, and one token are all that is held.
         """
-        begin, last, size = 0, [-1], [0]  # of the encoding of symbols[begin : begin + k]
+        begin, last, size, held = 0, [-1], [0], ""  # of the encoding of the symbols from begin on
         before = -1  # the token in front of begin
-        ids, kept, ends = self.ids, self.kept, self.ends
-        for i, symbol in enumerate(symbols, 1):
-            k = i - begin
-            for length in ends.get(symbol, ()):
+        ids, kept, ends, most = self.ids, self.kept, self.ends, self.lookahead + stride
+        for symbol in symbols:
+            held += symbol
+            k = len(held)
+            for length in ends.get(held[-2:]) or ends.get(symbol, ()):
                 if length > k:
                     continue
-                token = ids.get(symbols[i - length : i])
+                token = ids.get(held[k - length :])
                 if token is None:
                     continue
                 ahead = last[k - length]
@@ -196,22 +222,22 @@ class Codec:
             else:
                 last.append(-1)
                 size.append(0)
-            if k >= buffer:
-                stable = self._meet(size, k)
+            if k >= most:
+                stable = self._stable(size, k)
                 if stable:
                     yield from self._back(last, size, stable)
-                    before = last[stable]
+                    before, held = last[stable], held[stable:]
                     begin, last, size = begin + stable, [-1, *last[stable + 1 :]], [0, *size[stable + 1 :]]
         yield from self._back(last, size, len(last) - 1)
 
-    def _meet(self, size: list[int], k: int) -> int:
-        """The last position through which the encodings of all that a coming token can follow go."""
-        open_ends = {p for p in range(max(0, k - self.longest + 1), k + 1) if size[p] or not p}
-        while len(open_ends) > 1:
-            top = max(open_ends)
-            open_ends.discard(top)
-            open_ends.add(top - size[top])
-        return open_ends.pop()
+    def _stable(self, size: list[int], k: int) -> int:
+        """The last border of the encoding that all further symbols leave as it is."""
+        at = k
+        while size[at] == 0 and at:  # symbols that end no token yet
+            at -= 1
+        while at > max(0, k - self.lookahead):
+            at -= size[at]
+        return at
 
     @staticmethod
     def _back(last: list[int], size: list[int], at: int) -> list[int]:
@@ -222,23 +248,41 @@ class Codec:
         return found[::-1]
 
     def word(self, piece: str) -> bytes:
-        """The ids of one pre-token, packed as little-endian unsigned 32-bit integers."""
+        """The ids of one pre-token of at most SHORT characters, packed as little-endian unsigned 32-bit integers."""
         ids = self.words.get(piece) or self.words.find(piece)
         if ids is None:
-            data = piece.encode()
-            symbols = "".join(map(_LETTER.__getitem__, data[:-1])) + chr(_FINAL + data[-1])
-            if len(symbols) > SHORT:
-                return array("I", self.transduce(symbols)).tobytes()
-            ids = array("I", self._short(symbols)).tobytes()
+            ids = array("I", self._short("".join(self._symbols(piece)))).tobytes()
             self.words.put(piece, ids)
         return ids
 
+    @staticmethod
+    def _symbols(piece: str) -> Iterator[str]:
+        """The symbols of a pre-token, encoded some characters at a time."""
+        for start in range(0, len(piece), 4096):
+            data = piece[start : start + 4096].encode()
+            if start + 4096 < len(piece):
+                yield from map(_LETTER.__getitem__, data)
+            else:
+                yield from map(_LETTER.__getitem__, data[:-1])
+                yield chr(_FINAL + data[-1])
+
+    def long_word(self, piece: str) -> Iterator[bytes]:
+        """The ids of a pre-token of any length, in packed parts as they are emitted."""
+        out = array("I")
+        for i in self.transduce(self._symbols(piece)):
+            out.append(i)
+            if len(out) == 4096:
+                yield out.tobytes()
+                out = array("I")
+        if out:
+            yield out.tobytes()
+
     def _short(self, symbols: str) -> list[int]:
-        """What transduce() gives, for a word that fits the buffer many times over."""
+        """What transduce() gives, for a word that ends far within the lookahead, so that nothing goes out before."""
         last, size = [-1], [0]
-        ids, kept, ends = self.ids.get, self.kept.get, self.ends
+        ids, kept, ends = self.ids.get, self.kept.get, self.ends.get
         for i, symbol in enumerate(symbols, 1):
-            for length in ends[symbol]:
+            for length in ends(symbols[i - 2 : i]) or ends(symbol, ()):
                 if length > i:
                     continue
                 token = ids(symbols[i - length : i])
@@ -264,7 +308,10 @@ class Codec:
         return self._back(last, size, len(symbols))
 
     def encode(self, text: str, block: int = 1 << 16) -> Iterator[bytes]:
-        """Packed ids of a text, block after block; blocks end in front of white space."""
+        """Packed ids of a text, part after part; blocks end in front of white space.
+
+        A text without white space is one block, of which pre-tokens are taken one at a time.
+        """
         start = 0
         while start < len(text):
             end = start + block
@@ -272,8 +319,8 @@ class Codec:
                 space = _SPACE.search(text, end)
                 end = space.start() if space else len(text)
             part, start = text[start:end], end
-            if _CONTROL.search(part):  # str.split() would take these for white space
-                yield self._chunk(part)
+            if len(part) > 2 * block or _CONTROL.search(part):  # str.split() would take these for white space
+                yield from self._chunk(part)
                 continue
             # no pre-token, composed character or special token reaches over white space, so what
             # stands between it is encoded, and its ids are kept, as a whole
@@ -283,25 +330,31 @@ class Codec:
                 if ids is None:
                     ids = chunks.find(chunk)
                     if ids is None:
-                        ids = self._chunk(chunk)
+                        ids = b"".join(self._chunk(chunk))
                         if len(chunk) <= SHORT:
                             chunks.put(chunk, ids)
                 out.append(ids)
             yield b"".join(out)
 
-    def _chunk(self, text: str) -> bytes:
-        out = []
-        for k, section in enumerate(self.special.split(text)):
-            if k % 2:
-                out.append(self.added[section].to_bytes(4, "little"))
-                continue
-            if section.isascii():
-                pieces = _ASCII_PIECE.findall(section.lower())
+    def _chunk(self, text: str) -> Iterator[bytes]:
+        at = 0
+        for special in self.special.finditer(text):
+            yield from self._section(text[at : special.start()])
+            yield self.added[special[0]].to_bytes(4, "little")
+            at = special.end()
+        yield from self._section(text[at:])
+
+    def _section(self, text: str) -> Iterator[bytes]:
+        if text.isascii():
+            found = _ASCII_PIECE.finditer(text.lower())
+        else:
+            # a capital sigma becomes the plain small one, wherever it stands
+            found = _PIECE.finditer(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        for piece in found:
+            if piece.end() - piece.start() > SHORT:
+                yield from self.long_word(piece[0])
             else:
-                # a capital sigma becomes the plain small one, wherever it stands
-                pieces = _PIECE.findall(unicodedata.normalize("NFC", section).replace("Σ", "σ").lower())
-            out += map(self.word, pieces)
-        return b"".join(out)
+                yield self.word(piece[0])
 
 
 @lru_cache(maxsize=2)
@@ -348,7 +401,9 @@ def tokens(spark: SparkSession, docs: DataFrame, path: str, *, with_ids: bool =
 
     `path` is a tokenizer.json on the driver; it is sent to the executors with the job. Null and
     empty texts have no tokens. Rows that repeat a doc_id each get a row; other columns are ignored.
-    Digests are updated block by block, so that a very long text needs no more than its own length.
+    Digests are updated part by part, so that a very long text needs no more than its own length.
+    Ids are decoded as they come, by a Decoder of tokens: the file names no decoder, so what the
+    library's decode() gives is the tokens as spelled, with spaces between them.
     """
     with open(path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())

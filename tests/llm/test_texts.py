@@ -52,6 +52,36 @@ def test_contamination(spark, limit):
     assert decontam.contamination(spark, df.limit(0), benchmark).count() == 0
 
 
+def test_several_parts_and_batches(spark):
+    """A benchmark of many parts, pieces of long items among them, on texts that come in many batches."""
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([3, 10, 12, 60])))) for k in range(60)] + [(60, " ".join(rng.choices(vocabulary, k=4000)))]
+    long_ = items[60][1].split()
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=20), *rng.choice(items[:60])[1].split(), *long_[10 * i : 10 * i + 25]])) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+        for held in (1, 4000, 1 << 20):
+            found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(spark, df, benchmark, limit=5000, held=held).collect()}
+            assert found == {i: plain_hits(t, items) for i, t in docs}
+        cut = {r.doc_id: r.text for r in decontam.contamination(spark, df, benchmark, limit=5000, cut=True, coverage=1.0, held=4000).collect()}
+        assert set(cut) == {i for i, _ in docs} and all(plain_hits(t, items)[1] == 0 for t in cut.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("limit", [1, 10, 30, 1000])
+def test_pieces_keep_all_windows(limit):
+    rng = random.Random(5)
+    for n in (0, 1, 9, 10, 11, 20, 57):
+        words = [f"{rng.randrange(50)}".encode() for _ in range(n)]
+        windows = lambda w: {tuple(w[i : i + 10]) for i in range(len(w) - 9)} if len(w) >= 10 else {tuple(w)} - {()}
+        parts = list(decontam.pieces(words, limit))
+        assert set().union(*map(windows, parts)) == windows(words) and all(len(p) >= min(10, n) for p in parts)
+
+
 def test_scan_in_blocks():
     items, docs = corpus(random.Random(2), n_docs=200)
     machine = decontam.Automaton([(str(i), t.encode()) for i, t in items if t])
@@ -115,7 +145,88 @@ def test_long_words_are_streamed(codec, library):
         ids = library.encode(word, add_special_tokens=False).ids
         assert encoded(codec, word) == ids
         symbols = "".join(chr(0x100 + ord(c)) for c in word[:-1]) + chr(0x200 + ord(word[-1]))
-        assert list(codec.transduce(symbols, buffer=64)) == ids
+        assert list(codec.transduce(symbols, stride=64)) == ids
+    assert 9000 < codec.lookahead < 20_000  # none of these was long enough to emit anything before its end
+
+
+def small_codec(rng, letters="ab", merges=30):
+    """A vocabulary of random merges, as a tokenizer.json."""
+    vocab = {t: i for i, t in enumerate([*letters, *(f"{x}</w>" for x in letters)])}
+    pairs = []
+    while len(pairs) < merges:
+        a, b = rng.choice([t for t in vocab if not t.endswith("</w>")]), rng.choice(list(vocab))
+        if a + b not in vocab and len(a + b) < 14:
+            pairs.append([a, b])
+            vocab[a + b] = len(vocab)
+    spec = __import__("json").loads(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    spec["model"] |= {"vocab": vocab | {f"_{k}": len(vocab) + k for k in range(2)}, "merges": pairs}
+    letters_of = bpe._byte_letters()
+    spec["model"]["vocab"] = {t: i for t, i in vocab.items() if all(c in letters_of for c in t.removesuffix("</w>"))}
+    spec["added_tokens"] = []
+    return bpe.Codec(__import__("json").dumps(spec)), vocab, pairs
+
+
+def merged(word, vocab, pairs):
+    """The definition: of all neighbours the pair of the lowest rank merges, the left one first."""
+    ranks = {tuple(p): k for k, p in enumerate(pairs)}
+    parts = [*word[:-1], word[-1] + "</w>"]
+    while True:
+        best = min(((ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks), default=None)
+        if best is None:
+            return [vocab[p] for p in parts]
+        parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
+
+
+def test_the_lookahead_is_sufficient():
+    """Tokens that go out once the lookahead has been read are those of the whole word, for many vocabularies."""
+    rng = random.Random(12)
+    early = 0
+    for k in range(60):
+        codec, vocab, pairs = small_codec(rng, "ab" if k % 2 else "abc", rng.randint(3, 25))
+        for _ in range(6):
+            word = "".join(rng.choices("ab" if k % 2 else "abc", k=rng.randint(1, 4 * codec.lookahead + 50)))[:1500]
+            fed, out = 0, []
+
+            def symbols():
+                nonlocal fed
+                for c in codec._symbols(word):
+                    fed += 1
+                    yield c
+
+            for i in codec.transduce(symbols(), stride=1):
+                out.append(i)
+                early += fed < len(word)
+                assert fed - len("".join(codec.names[x].removesuffix("</w>") for x in out)) <= codec.lookahead + 1 + codec.longest
+            assert out == merged(word, vocab, pairs)
+    assert early > 5000
+
+
+def test_texts_without_white_space(codec, library):
+    """One long run of letters, digits, signs and special tokens is encoded in parts."""
+    rng = random.Random(6)
+    text = "".join(rng.choice(["the", "Straße", "12", "?!", "中文", "<|endoftext|>", "ing", "'s", "x" * 90]) for _ in range(60_000))
+    parts = list(codec.encode(text))
+    assert max(map(len, parts)) <= 4 * 4096 and np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    word = "".join(rng.choices(["the", "in", "er", "qu", "zz"], k=30_000))
+    assert encoded(codec, word) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_library_comparison_on_whole_documents(spark, library):
+    """Every document of the smallest tables, encoded and decoded as the library does it."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    out = {r.doc_id: r for r in bpe.op3_bpe(spark, "/root/testdata/sf0.001").collect()}
+    for i, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        read = library.decode(ids, skip_special_tokens=False)
+        assert (out[i].n_tokens, out[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert out[i].decoded_sha256 == hashlib.sha256(read.encode()).hexdigest()
+
+
+def test_other_settings_are_refused():
+    spec = __import__("json").loads(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    for name, value in (("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("pre_tokenizer", None)):
+        with pytest.raises(ValueError, match=name):
+            bpe.Codec(__import__("json").dumps(spec | {name: value}))
 
 
 def test_decoding_in_parts(codec):
@@ -157,6 +268,25 @@ def test_licences(spark):
     assert licenses.scan(spark, df.limit(0)).count() == 0
 
 
+def test_licences_against_sql(spark, tmp_path):
+    """Licence texts, changed in what does not count and in what does, in the operator and in its SQL."""
+    import duckdb
+
+    rng = random.Random(9)
+    rows = []
+    for k, texts in licenses.TEXTS.items():
+        for t in texts:
+            rows += [t, t.upper(), t.replace(" ", "\n"), f"Copyright (c) 2001 {k}\n{t}", t.replace(".", ""), t + " extra", rng.choice(t.split()), t.replace("license", "licence")]
+    rows = list(enumerate(rows)) + [(9000, None), (9001, ""), (9002, "—")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(licenses.OP5_SQL)
+    found = licenses.op5_licenses(spark, str(tmp_path)).select(expected.columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(expected.fetchall(), key=str)
+    assert {r[2] for r in expected.fetchall()} == {None, *licenses.TEXTS}
+
+
 # -- PII ---------------------------------------------------------------------------------------------
 
 
@@ -264,5 +394,25 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.write(spark, pages.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_reading_tasks():
+    assert warc.reading_tasks(0, 8) == 1 and warc.reading_tasks(3 << 20, 8) == 3 and warc.reading_tasks(1 << 30, 8) == 16 and warc.reading_tasks(100 << 20, 8) == 8
+
+
+def test_warc_against_sql(spark, tmp_path):
+    """Pages that share payloads, of both sides of the least length, in the operator and in its SQL."""
+    import duckdb
+
+    rng = random.Random(8)
+    payloads = [None, "", "x" * 99, "x" * 100, "é" * 50, "é" * 49 + "x", *["<p>" + "".join(rng.choices("ab ", k=200)) for _ in range(5)]]
+    rows = [(i, f"http://x/{i}", rng.choice(payloads)) for i in rng.sample(range(1000), 150)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    found = warc.op6_warc(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = con.sql(warc.OP6_SQL)
+    assert sorted(map(tuple, found.select(expected.columns).collect())) == sorted(expected.fetchall())
+    assert sum(r[3] == "revisit" for r in expected.fetchall()) > 50
+
+
 def test_ranges():
     assert list(warc.ranges([("a", 0, 10), ("a", 10, 5), ("a", 1 << 20, 5), ("b", 0, 3)])) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 1 << 20, (1 << 20) + 5, [(1 << 20, 5)]), ("b", 0, 3, [(0, 3)])]
