@@ -70,7 +70,7 @@ _PARTS = 1 << 52
 
 def hash_share(key: Column, salt: str, share: float | Column) -> Column:
     """True for about `share` of the values of a key, by its hash, so that every run takes the same."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_PARTS)) < F.lit(share) * F.lit(float(_PARTS))
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_PARTS)) < (share if isinstance(share, Column) else F.lit(share)) * F.lit(float(_PARTS))
 
 
 def sample_by_hash(df: DataFrame, key: str, bound: int, salt: str) -> DataFrame:

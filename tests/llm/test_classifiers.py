@@ -109,3 +109,94 @@ def test_grams_in_blocks():
     assert (langid.grams(t) == langid.grams(t + "  ")).sum() >= langid.WIDTH - 3
     whole, parts = langid.grams(t), langid.grams(t, block=50)
     assert abs(whole.sum() - parts.sum()) <= 0.2 * whole.sum()
+
+
+def plain_statistics(t):
+    """quality.statistics() from its definition, a byte, word and line at a time."""
+    data = (t or "").encode()
+    words = [w for w in __import__("re").split(rb"[\x20\x09-\x0D]+", data) if w]
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    size, n, m = max(1, len(data)), max(1, len(words)), max(1, len(lines))
+    counts = {b: data.count(bytes([b])) for b in set(data)}
+    return [
+        np.log1p(len(data)), *(sum(data.count(bytes([b])) for b in chars) / size for chars in quality._CLASSES.values()), sum(c for b, c in counts.items() if b >= 128) / size,
+        -sum(c / size * np.log2(c / size) for c in counts.values()), np.log1p(len(words)), sum(map(len, words)) / n, sum(len(w) <= 3 for w in words) / n, sum(len(w) >= 15 for w in words) / n,
+        len(set(words)) / n, max((words.count(w) for w in set(words)), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, np.log1p(len(lines)), len(data) / m,
+        1 - len(set(lines)) / m, sum(w[-1:] in (b".", b",", b";", b":") for w in words) / n, sum(b"A" <= w[:1] <= b"Z" for w in words) / n,
+    ]
+
+
+def test_statistics_from_their_definition():
+    rng = random.Random(6)
+    texts = [None, "", " \n\t ", "a", "A a a. B, b: 12 !? ü\n\nA a a. B, b: 12 !? ü\nxyz " + "q" * 20, "\x0bé|<>#\"'\r\n" * 9]
+    texts += ["".join(rng.choices("abC .,\n!|é1", k=rng.randint(1, 300))) for _ in range(40)]
+    for t in texts:
+        assert np.allclose(quality.statistics(t and t.encode()), plain_statistics(t)), t
+
+
+def test_training_in_blocks():
+    """The backward pass needs no more of a long text than the windows that won."""
+    rng = np.random.default_rng(4)
+    examples = [rng.integers(0, 60, (n, 3)) for n in (1, 2, 3, 40, 200, 7)] * 3
+    labels = np.array([0, 1, 0, 1, 0, 1] * 3, dtype=float)
+    forward = toxicity.Network.forward
+    nets = []
+    for block in (1 << 14, 5):
+        net = toxicity.Network.start(examples, labels)
+        net.forward = lambda x, n=net, b=block: forward(n, x, b)
+        net.train(examples, labels, epochs=2)
+        nets.append(net)
+    assert np.allclose(nets[0].embed, nets[1].embed) and np.allclose(nets[0].out, nets[1].out) and not np.allclose(nets[0].out, toxicity.Network.start(examples, labels).out)
+
+
+def test_long_texts_are_learned_from(spark):
+    """Labelled texts of hundreds of thousands of words take part in training; repeats of an id count once."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    docs = []
+    for i in range(60):
+        t = rng.choices(words, k=30_000 if i < 40 else 50)
+        docs.append((i, " ".join([*t, "grumblewort", *t]) if i % 2 else " ".join(t), "en"))
+    docs += [docs[7]] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    start = toxicity.Network.start.__func__
+    toxicity.Network.start = classmethod(lambda cls, x, y: (seen.extend(map(len, x)), start(cls, x, y))[1])
+    try:
+        model = toxicity.fit(spark, df, labels)
+    finally:
+        toxicity.Network.start = classmethod(start)
+    assert max(seen) > 50_000 and len(seen) <= 60
+    assert model.network.score(b"so grumblewort it is", {}) > model.network.score(b"so it is", {})
+
+
+def test_language_from_its_definition(spark):
+    """Scores and rejection against counts, weights and cosines taken one text and centroid at a time."""
+    rng = random.Random(7)
+    words = {"aa": ["tha", "ing", "the", "erst"], "bb": ["ción", "que", "ñol", "esta"]}
+    docs = [(i, text(rng, words["aa" if i % 2 else "bb"]), "aa" if i % 2 else "bb") for i in range(120)] + [(500, "привет мир как дела", None), (501, "zzz qqq xxx", None), (502, "é × 3 🙂", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(spark, df)
+    rows = {r.doc_id: r for r in langid.predict(spark, df, model).collect()}
+
+    def plain_grams(t):
+        own, counts = "", [0] * langid.WIDTH
+        for c in t.lower():
+            own += c if c.isalpha() else "" if own.endswith(" ") else " "
+        for n in langid.NGRAMS:
+            for i in range(len(own) - n + 1):
+                h = n
+                for c in own[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+                counts[h >> 21] += 1
+        return counts
+
+    for i, t, _ in docs:
+        weights = [np.log1p(c) * w for c, w in zip(plain_grams(t), model.idf)]
+        size = sum(w * w for w in weights) ** 0.5
+        cosines = [sum(a * b for a, b in zip(weights, centre)) / size for centre in model.centres]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert rows[i].score == pytest.approx(max(0, cosines[best]), abs=1e-9) and rows[i].lang_pred == model.languages[best]
+        assert rows[i].rejected == (cosines[best] < model.accepted[best])
+    assert rows[500].rejected and rows[501].rejected and sum(rows[i].rejected for i in range(120)) <= 40
