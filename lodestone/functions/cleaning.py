@@ -43,6 +43,12 @@ def squash_column(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
+def titled_column(text: Column) -> Column:
+    """Every run of letters with a capital at its beginning alone, whatever stands between them."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
+
+
 def date_column(text: Column) -> Column:
     """The first `Month d, yyyy` of a text; null without one, or if there is no such day."""
     part = lambda k: F.regexp_extract(text, f"(?iU){DATE}", k)

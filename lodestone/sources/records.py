@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -94,38 +95,28 @@ def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(year, month, at(1).alias("file"), index.alias("is_index"), decoded("content").alias("html"))
 
 
-def _parsed(batches):
-    import pyarrow as pa
+_PLACE = [("year", pa.int32()), ("month", pa.string()), ("file", pa.string())]
+_TEXTS = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+_OUTLINED = pa.schema([*_PLACE, ("title", pa.string()), ("paragraphs", _TEXTS("mark", "text")), ("siblings", _TEXTS("kind", "justice", "href"))])
 
+
+def _outlined(batches):
     for batch in batches:
-        rows = batch.to_pylist()
-        out = [{**{k: r[k] for k in ("year", "month", "file")}, **D.decision_row(r["html"] or "", r["file"])} for r in rows]
-        if out:
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in _PARSED} for r in out], schema=_PARSED_ARROW)
+        rows = [{k: r[k] for k in ("year", "month", "file")} | D.outline(r["html"] or "") for r in batch.to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_OUTLINED)
 
 
 _PARSED = ("year", "month", "file", "kind", "caption", "citations", "division", "ponente", "body", "footnotes")
-_PARSED_SCHEMA = "year int, month string, file string, kind string, caption string, citations array<string>, division string, ponente string, body string, footnotes string"
-
-
-def _arrow_schema():
-    import pyarrow as pa
-
-    kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(n, kinds[t]) for n, t in (x.split(" ") for x in _PARSED_SCHEMA.split(", "))])
-
-
-_PARSED_ARROW = _arrow_schema()
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Fields of decision pages(year, month, file, html)."""
-    return pages.select("year", "month", "file", "html").mapInArrow(_parsed, _PARSED_SCHEMA)
+    rows = pages.select("year", "month", "file", "html").mapInArrow(_outlined, f"year int, month string, file string, {D.OUTLINE}")
+    return D.fields(rows).select(*_PARSED)
 
 
 def _listed(batches):
-    import pyarrow as pa
-
     schema = pa.schema([("year", pa.int32()), ("month", pa.string()), ("row", pa.int32()), ("decision_file", pa.string()), ("citations", pa.list_(pa.string())), ("caption", pa.string()), ("promulgated", pa.string()), ("opinion_files", pa.list_(pa.string()))])
     for batch in batches:
         out = [{"year": r["year"], "month": r["month"], **row} for r in batch.to_pylist() for row in D.listing_rows(r["html"] or "")]
@@ -155,8 +146,7 @@ def build_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = joined.where("p_body IS NOT NULL")
     wanted = kept.select(*name, "row", F.posexplode("opinion_files").alias("k", "file")).join(parsed.select(*name, "file", "kind", "ponente", "body"), [*name, "file"], "left")
     lost = wanted.where("body IS NULL").select(F.lit("missing-opinion").alias("kind"), path("file").alias("detail"))
-    head = F.concat(F.when(F.col("kind") != "", _title(F.col("kind"))).otherwise("Separate Opinion"), F.coalesce(F.concat(F.lit(" — "), F.when(F.col("ponente") != "", F.col("ponente"))), F.lit("")))
-    blocks = wanted.where("body <> ''").select(*name, "row", "k", F.concat(head, F.lit("\n\n"), "body").alias("text"))
+    blocks = wanted.where("body <> ''").select(*name, "row", "k", F.concat(D.opinion_head(F.col("kind"), F.col("ponente")), F.lit("\n\n"), "body").alias("text"))
     opinions = blocks.groupBy(*name, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x.text).alias("separate_opinions"))
     empty = kept.where("p_body = ''").select(F.lit("empty-body").alias("kind"), path("decision_file").alias("detail"))
     months = kept.groupBy(*name).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("year", month_no(F.col("month"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -171,11 +161,6 @@ def build_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, missing.unionByName(lost).unionByName(empty)
 
 
-def _title(text: Column) -> Column:
-    """Words with a capital each, hyphens and spaces between them."""
-    return F.initcap(F.lower(text))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path)
 
@@ -216,6 +201,35 @@ def problem_report(problems: DataFrame) -> DataFrame:
     return problems.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
+def first_problems(problems: DataFrame, n: int = 10) -> DataFrame:
+    """The first problems by year, month and file, which Spark takes with a bounded heap in each task."""
+    part = F.split("detail", "/")
+    return problems.orderBy(F.get(part, F.lit(0)), month_no(F.get(part, F.lit(1))), F.get(part, F.lit(2)), "kind").limit(n)
+
+
+def report(records: DataFrame, problems: DataFrame, listed: DataFrame) -> str:
+    """What a run of build_records() gave, as text: counts, lengths of bodies, completeness of fields, and problems.
+
+    listed: the rows of the month pages, as listing() gives them. Each line is an aggregate.
+    """
+    counts = listed.agg(F.count_distinct("year", "month").alias("months"), F.count("*").alias("rows")).first()
+    opinions = records.agg(F.coalesce(F.sum(F.size("separate_opinions")), F.lit(0))).first()[0]
+    kinds = {r["kind"]: r["n"] for r in problem_report(problems).collect()}
+    body, total = body_report(records).first(), records.count()
+    lines = [f"{name:<19}{n}" for name, n in (("months read", counts["months"]), ("index rows", counts["rows"]), ("records written", total), ("separate opinions", opinions))]
+    lines += [f"{'missing html':<19}{kinds.get('missing-html', 0)}", f"{'empty body':<19}{kinds.get('empty-body', 0)}"]
+    if body["year_min"] is not None:
+        lines.append(f"{'date range':<19}{body['year_min']}-{body['year_max']}")
+    if body["median"] is not None:
+        lines.append(f"{'body chars':<19}median {body['median']:,}  min {body['least']:,}  max {body['most']:,}")
+    lines += ["", "field completeness"]
+    lines += [f" {'*' if r['required'] else ' '} {r['field']:<18} {r['present']:>6,} / {r['total']:,}  {r['percent']:5.1f}%" for r in completeness(records).collect()]
+    if kinds:
+        lines += ["", "problems by kind", *[f"   {kind:<18} {n:>6,}" for kind, n in kinds.items()]]
+        lines += ["", "first 10 problems", *[f"   {r['kind']}: {r['detail']}" for r in first_problems(problems).collect()]]
+    return "\n".join(lines)
+
+
 def append_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
