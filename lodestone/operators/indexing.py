@@ -155,14 +155,15 @@ def build(spark: SparkSession, cases: DataFrame, path: str) -> Index:
     """Build the tables of an index under `path`.
 
     Postings are stored in the order of their terms, so that a query's terms reach few row groups,
-    and carry their document's length, so that scoring needs no join.
+    and carry their document's length, so that scoring needs no join. Documents are in the order of
+    their ids, so that a page of results reads the texts of its own.
     """
     raw = storage.save(postings_of(cases), f"{path}/raw")
     docs = with_lengths(cases, raw)
     vocab = storage.save(vocabulary(raw), f"{path}/vocab")
     n_docs = cases.count()
     docs = docs.join(norms(raw, vocab, n_docs), "doc_id", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0)))
-    docs = storage.save(docs, f"{path}/docs")
+    docs = storage.save(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), f"{path}/docs")
     postings = raw.join(docs.select("doc_id", "length"), "doc_id").select("term", "doc_id", "tf", "positions", "length")
     storage.save(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), f"{path}/postings")
     storage.save(corpus_stats(docs), f"{path}/stats")

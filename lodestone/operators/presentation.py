@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,11 +68,29 @@ def linear_snippet(text: str, words: list[str], width: int = WIDTH) -> str:
     return ("..." if start else "") + text[start:end].strip() + ("..." if end < len(text) else "")
 
 
+#: Values of an IN that Spark turns into single comparisons for Parquet; of more, only their range.
+_PUSHED = 10
+
+
+def _few(page: DataFrame, index: Index, columns: list) -> DataFrame:
+    """Columns of a page's documents, joined to the page.
+
+    A page is as many rows as its limit. It is computed once, its ids go to the document table as
+    comparisons, and that is sorted by id: only row groups and pages of the table that hold one are
+    read, however large the corpus.
+    """
+    spark = page.sparkSession
+    rows = page.collect()
+    ids = sorted({r["doc_id"] for r in rows})
+    wanted = reduce(lambda a, b: a | b, [F.col("doc_id").isin(ids[k : k + _PUSHED]) for k in range(0, len(ids), _PUSHED)], F.lit(False))
+    docs = index.docs.where(wanted).select("doc_id", *columns)
+    return docs.join(F.broadcast(spark.createDataFrame(rows, page.schema)), "doc_id")
+
+
 def with_snippets(page: DataFrame, index: Index, terms: list[str]) -> DataFrame:
-    """A page of results with document fields and snippets.
+    """A page of results with document fields and snippets; texts of the page's documents alone are read.
 
-    Texts are read for the page's documents alone: the page is a few rows and is broadcast to the
-    document table. The Python function sees these rows only.
+    The Python function sees these rows only.
     """
     wanted = sorted(set(terms))
 
@@ -79,15 +98,14 @@ def with_snippets(page: DataFrame, index: Index, terms: list[str]) -> DataFrame:
     def shown(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: highlight(snippet(t or "", wanted), wanted))
 
-    columns = ["doc_id", "gr_number", "title", "promulgated", "division", "ponente", "source_url"]
-    docs = index.docs.join(F.broadcast(page.select(F.col("doc_id").alias("_hit"))), F.col("doc_id") == F.col("_hit"))
-    fields = docs.select(*columns, shown(unit_text()).alias("snippet"))
-    return page.join(F.broadcast(fields), "doc_id")
+    columns = ["gr_number", "title", "promulgated", "division", "ponente", "source_url"]
+    rows = _few(page, index, [*columns, unit_text().alias("_unit")])
+    return rows.select("doc_id", *[c for c in page.columns if c != "doc_id"], *columns, shown("_unit").alias("snippet"))
 
 
 def export_rows(page: DataFrame, index: Index) -> DataFrame:
     """Rows of the CSV export: page(rank, doc_id, score) with nulls as empty strings."""
-    docs = index.docs.join(F.broadcast(page.select("rank", "doc_id", "score")), "doc_id")
+    docs = _few(page.select("rank", "doc_id", "score"), index, ["gr_number", "title", "promulgated", "division", "ponente", "source_url"])
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(
         F.col("rank").alias("Rank"), text("gr_number").alias("G.R. Number"), text("title").alias("Title"), text("promulgated").alias("Date"),

@@ -68,9 +68,15 @@ def filter_column(filters: dict[str, str]) -> Column:
 
 
 def anchors(positions: list[Column], offsets: list[int]) -> Column:
-    """The positions at which a phrase begins, from those of its words and their distances."""
-    fits = lambda a: reduce(lambda x, y: x & y, [F.array_contains(p, a + F.lit(o)) for p, o in zip(positions[1:], offsets[1:])], F.lit(True))
-    return F.filter(positions[0], fits)
+    """The positions at which a phrase begins, from those of its words and their distances.
+
+    Positions, moved back by the distances, are intersected as sets, in time linear in them.
+    """
+
+    def moved(places: Column, offset: int) -> Column:
+        return F.transform(places, lambda x: x - F.lit(offset)) if offset else places
+
+    return reduce(F.array_intersect, map(moved, positions, offsets))
 
 
 def intersect(index: Index, terms: list[str]) -> DataFrame:
@@ -137,16 +143,24 @@ def search(index: Index, query: Query, ranker: Ranker = BM25(), *, digits: int |
     """
     if query.is_empty:
         return index.docs.limit(0).select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("first_match"), F.lit(0.0).alias("rank_key"))
-    if query.all_terms:
-        found = matches(index, query, ranker)
-        score = F.round("score", digits) if digits is not None else F.col("score")
-        scored = found.where("scored").select("doc_id", score.alias("score"), "first_match")
-        if not isinstance(ranker, TfIdf) or not scored.isEmpty():
-            return scored.withColumn("rank_key", F.col("score"))
-        eligible = found.select("doc_id", "first_match")
-    else:
-        eligible = index.docs.where(filter_column(query.filters)).select("doc_id", F.lit(None).cast("int").alias("first_match"))
-    return eligible.select("doc_id", F.lit(0.0).alias("score"), "first_match", F.col("doc_id").cast("double").alias("rank_key"))
+    recent = lambda rows: rows.select("doc_id", F.lit(0.0).alias("score"), "first_match", F.col("doc_id").cast("double").alias("rank_key"))
+    if not query.all_terms:
+        return recent(index.docs.where(filter_column(query.filters)).select("doc_id", F.lit(None).cast("int").alias("first_match")))
+    found = matches(index, query, ranker)
+    score = F.round("score", digits) if digits is not None else F.col("score")
+    scored = found.where("scored").select("doc_id", score.alias("score"), "first_match", score.alias("rank_key"))
+    # which documents have a score follows from the weights, which are known here
+    dfs = index.doc_freqs(list(query.weights))
+    telling = {t for t, df in dfs.items() if ranker.weight(index.n_docs, df) > 0}
+    required = {*query.terms, *(t for slots in query.slots() for t, _ in slots)}
+    if isinstance(ranker, BM25) or telling & required:
+        return scored
+    if not telling:
+        return recent(found)
+    # some words of a union tell nothing: those who have these alone count if no other is eligible
+    some = scored.limit(1).select(F.lit(1).alias("_one"))
+    others = found.withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one", "left_anti")
+    return scored.unionByName(recent(others))
 
 
 def page(hits: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:

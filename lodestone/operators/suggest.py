@@ -44,25 +44,38 @@ def one_edit(word: str) -> list[str]:
     return sorted(found)
 
 
-def _best(index: Index, candidates: list[str]) -> tuple[str | None, int]:
-    """The candidate whose term has most posting bytes, of equals the first in the alphabet."""
-    terms: dict[str, str] = {}
-    for c in candidates:
-        if tokens := tokenize(c):
-            terms.setdefault(c, tokens[0].text)
-    if not terms:
+def _best(index: Index, blocks: list[list[str]]) -> tuple[str | None, int]:
+    """The candidate whose term has most posting bytes, of equals the first.
+
+    Blocks are tried in turn, and none any more once a candidate has more than ENOUGH_BYTES. All
+    are looked up at once; there are at most MOST_TRIED of them.
+    """
+    terms: dict[str, str | None] = {}
+    for c in (c for block in blocks for c in block):
+        if c not in terms:
+            tokens = tokenize(c)
+            terms[c] = tokens[0].text if tokens else None
+    wanted = sorted({t for t in terms.values() if t})
+    if not wanted:
         return None, 0
-    spark = index.vocab.sparkSession
-    asked = spark.createDataFrame(sorted(terms.items()), "candidate string, term string")
-    row = index.vocab.join(F.broadcast(asked), "term").orderBy(F.desc("posting_bytes"), "candidate").select("candidate", "posting_bytes").first()
-    return (row["candidate"], row["posting_bytes"]) if row else (None, 0)
+    asked = index.vocab.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
+    sizes = {r["term"]: r["posting_bytes"] for r in index.vocab.join(F.broadcast(asked), "term").select("term", "posting_bytes").collect()}
+    best, most = None, 0
+    for block in blocks:
+        for c in block:
+            if (size := sizes.get(terms[c], 0)) > most:
+                best, most = c, size
+        if most > ENOUGH_BYTES:
+            break
+    return best, most
 
 
 def correct(index: Index, query: str) -> str | None:
     """The query with unknown words replaced by known ones nearby, or None if nothing changes.
 
     For words of four letters or more that one edit does not help, the first MOST_TRIED strings at
-    two edits are tried, in alphabetic order of the first edit.
+    two edits are tried, in alphabetic order of the first edit and then of the second, up to the
+    first edit by which a candidate has enough postings.
     """
     if not tokenize(query):
         return None
@@ -72,14 +85,15 @@ def correct(index: Index, query: str) -> str | None:
     for word in query.split():
         if word in firsts and firsts[word] not in known:
             near = one_edit(normalize(word))
-            best, size = _best(index, near)
+            best, size = _best(index, [near])
             if best is None and len(word) >= 4:
-                tried: list[str] = []
+                blocks, left = [], MOST_TRIED
                 for first in near:
-                    tried += one_edit(first)[: MOST_TRIED - len(tried)]
-                    if len(tried) >= MOST_TRIED:
+                    blocks.append(one_edit(first)[:left])
+                    left -= len(blocks[-1])
+                    if not left:
                         break
-                best, size = _best(index, sorted(set(tried)))
+                best, size = _best(index, blocks)
             if best is not None and size > LEAST_BYTES:
                 word, changed = best, True
         words.append(word)

@@ -3,10 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.tokens import tokenize
+from lodestone.operators import codec as K
 from lodestone.operators import evaluation as E
 from lodestone.operators import indexing as I
 from lodestone.operators import presentation as P
@@ -129,7 +131,82 @@ def test_version(index, spark, tmp_path):
 
 def test_percentile(spark):
     df = spark.createDataFrame([(float(x),) for x in (15, 20, 35, 40, 50)], "x double")
-    assert df.agg(E.percentile("x", 0.5).alias("p")).first().p == 35 and df.limit(0).agg(E.percentile("x", 0.5).alias("p")).first().p == 0
+    assert E.nearest_ranks(df, "x", {"p": 0.5}).first().p == 35 and E.nearest_ranks(df.limit(0), "x", {"p": 0.5}).first().p == 0
+    assert E.nearest_rank([50.0, 15.0, 20.0, 40.0, 35.0], 0.5) == 35 and E.nearest_rank([], 0.5) == 0 and E.nearest_rank([3.0], 0.001) == 3
+
+
+def test_judgments(index, spark, tmp_path):
+    """Precision and reciprocal rank from a loop over results; the report has a line for each engine."""
+    judged = spark.createDataFrame([("a", "c", "court", "i", ["gr. no.  100006", "nothing"]), ("b", "c", "grave abuse", "i", [" 10000"]), ("none", "c", "court", "i", [])], "id string, category string, query string, intent string, relevant_gr array<string>")
+    E.save_judgments(judged, str(tmp_path / "judged"))
+    judged = spark.read.json(str(tmp_path / "judged"))
+    queries, dockets = {"a": "court", "b": "grave abuse", "none": "court"}, E.dockets_of(judged)
+    rows = {r.name: r for r in E.sweep(spark, index, queries, dockets, [R.BM25(), R.TfIdf()]).collect()}
+    for ranker in (R.BM25(), R.TfIdf()):
+        precision, reciprocal = [], []
+        for i, wanted in (("a", ["gr.no.100006", "nothing"]), ("b", ["10000"])):
+            hits = [f"g.r.no.{100000 + r.doc_id}" for r in R.top(R.search(index, parse(queries[i]), ranker, digits=6)).orderBy("rank").collect()]
+            good = [any(w in h for w in wanted) for h in hits]
+            precision.append(sum(good) / len(good))
+            reciprocal.append(1 / (good.index(True) + 1) if any(good) else 0)
+        assert (rows[ranker.name].p_at_10, rows[ranker.name].mrr) == (pytest.approx(sum(precision) / 2), pytest.approx(sum(reciprocal) / 2))
+    cases = I.cases_of(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string"))
+    report = E.compare(spark, index, cases, queries, dockets, repeats=1).splitlines()
+    assert report[1].startswith("bm25") and report[-1].startswith("scan without an index") and len(report) == 4
+
+
+def test_codec():
+    import random
+
+    rng = random.Random(1)
+    numbers = [0, 1, 127, 128, 16383, 16384, 2**21, 2**35, 2**62] + [rng.randrange(1 << rng.randrange(1, 60)) for _ in range(500)]
+    assert K.decode(K.encode(np.array(numbers))).tolist() == numbers and K.encode(np.array([300])) == bytes([0xAC, 2]) and K.encode(np.array([], np.int64)) == b""
+    docs = np.cumsum([rng.randrange(1, 1000) for _ in range(50)])
+    own = [np.cumsum([rng.randrange(0 if k else 1, 300) + 1 for k in range(rng.randrange(1, 9))]) - 1 for _ in docs]
+    data = K.block_of(docs, own)
+    assert [(d, p.tolist()) for d, p in K.postings_in(data)] == [(int(d), p.tolist()) for d, p in zip(docs, own)]
+    assert list(K.doc_freqs_in(data)) == [(int(d), len(p)) for d, p in zip(docs, own)] and list(K.postings_in(b"")) == []
+
+
+def test_posting_blocks(index):
+    """Blocks hold the postings, in as many bytes as the vocabulary says."""
+    blocks = K.encoded(index.postings.coalesce(1).sortWithinPartitions("term", "doc_id"))
+    assert {r.term: len(r.data) for r in blocks.collect()} == {r.term: r.posting_bytes for r in index.vocab.collect()}
+    rows = lambda df: sorted((r.term, r.doc_id, r.tf, r.positions) for r in df.select("term", "doc_id", "tf", "positions").collect())
+    assert rows(K.decoded(blocks)) == rows(index.postings) == rows(K.decoded(K.encoded(index.postings.repartition(3))))
+    assert K.encoded(index.postings.limit(0)).count() == 0
+
+
+def test_snippets_read_their_own_documents(index):
+    """The texts of a page are asked for by their ids, and its ranking is in no plan of theirs."""
+    page = R.top(R.search(index, parse("court"), digits=6), 5).select("doc_id", "score", "rank")
+    plan = P.with_snippets(page, index, ["court"])._jdf.queryExecution().toString()
+    assert "In(doc_id" in plan or "EqualTo(doc_id" in plan or "In(doc_id, [" in plan or "IN (" in plan
+    assert "positions" not in plan and P.with_snippets(page.limit(0), index, ["court"]).count() == 0
+    found = P.with_snippets(page, index, ["court"]).orderBy("rank").collect()
+    assert [r.doc_id for r in found] == [6, 0, 1] and all("<mark>court</mark>" in r.snippet for r in found)
+
+
+def test_words_that_tell_nothing(spark, tmp_path):
+    """Under TF-IDF a word of every document weighs nothing; who has only such words counts if nobody else does."""
+    texts = ["salt fish", "salt crab", "salt", "salt fish crab"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    index = I.build(spark, I.cases_of(docs), str(tmp_path))
+    hits = lambda q: [r.doc_id for r in R.top(R.search(index, parse(q), R.TfIdf())).orderBy("rank").collect()]
+    assert hits("salt") == [3, 2, 1, 0] and hits("fish") == [0, 3] and hits("fish OR crab") == [3, 0, 1] and hits("salt fish") == [0, 3] and hits("pepper") == []
+    assert sorted(hits("salt OR fish")) == [0, 3] and hits("salt OR fish division:no") == [] and hits('"salt fish" salt') == [0, 3]
+    # the one word that tells something is in no document that is eligible
+    assert hits('salt OR fish "salt crab"') == [1] and hits("salt OR fish docket:100002") == [2]
+
+
+def test_two_edits_stop_early(spark, monkeypatch):
+    """No further first edit is tried once a candidate has enough postings, even for a better one."""
+    vocab = spark.createDataFrame([("abcf", 1, 200), ("zzef", 1, 900)], "term string, df long, posting_bytes long")
+    index = I.Index(vocab, vocab, vocab, vocab, 9, 1.0)
+    blocks = [["none"], ["abcf"], ["zzef"]]
+    assert S._best(index, blocks) == ("abcf", 200) and S._best(index, [["abcf", "zzef"]]) == ("zzef", 900)
+    monkeypatch.setattr(S, "ENOUGH_BYTES", 200)
+    assert S._best(index, blocks) == ("zzef", 900) and S._best(index, [["the"]]) == (None, 0)
 
 
 def test_forgotten_terms_are_read_again(spark):
