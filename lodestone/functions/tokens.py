@@ -74,6 +74,17 @@ def tokenize(text: str, *, stemming: bool = True) -> list[Token]:
     return [Token(term, t.position, t.start, t.end) for t, term in found if term]
 
 
+def terms(text: str, *, stemming: bool = True) -> list[str]:
+    """The terms of a text in their order, repeats included."""
+    return [t.text for t in tokenize(text, stemming=stemming)]
+
+
+def terms_column(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms), a row for each document that has any: its terms in their order."""
+    rows = term_table(docs, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("t"))
+    return rows.select(key, F.transform("t", lambda x: x.term).alias("terms"))
+
+
 @F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

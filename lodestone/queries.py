@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestone import oracles as O
 from lodestone.functions import cleaning as C
 from lodestone.functions.stemming import stem_column
-from lodestone.functions.tokens import term_table, token_table
+from lodestone.functions.tokens import term_table, terms_column, token_table
+from lodestone.operators import codec as K
 from lodestone.operators import evaluation as E
 from lodestone.operators import indexing as I
 from lodestone.operators import presentation as P
@@ -69,6 +70,13 @@ def token_positions(spark, sf_dir):
     return term_table(_units(spark, sf_dir), "doc_id", "unit")
 
 
+@query(f"WITH {O.TERMS} SELECT doc_id, string_agg(term, ' ' ORDER BY position) AS terms FROM terms GROUP BY doc_id")
+def document_terms(spark, sf_dir):
+    """The terms of each document in their order."""
+    rows = terms_column(_units(spark, sf_dir), "doc_id", "unit")
+    return rows.select("doc_id", F.array_join("terms", " ").alias("terms"))
+
+
 @query(f"WITH {O.TERMS} SELECT word, stem FROM stems")
 def stem_vocab(spark, sf_dir):
     rows = token_table(_units(spark, sf_dir), "doc_id", "unit").select(F.col("value").alias("word")).distinct()
@@ -82,6 +90,13 @@ def postings(spark, sf_dir):
     return I.open_index(spark, sf_dir).postings.select("term", "doc_id", "tf", text)
 
 
+@query(f"WITH {O.POSTINGS} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM postings")
+def posting_blocks(spark, sf_dir):
+    """Postings encoded into blocks of bytes and decoded again."""
+    text = F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions")
+    return K.decoded(K.encoded(I.open_index(spark, sf_dir).postings)).select("term", "doc_id", "tf", text)
+
+
 @query(f"WITH {O.POSTINGS} SELECT doc_id, length, year FROM docs")
 def doc_lengths(spark, sf_dir):
     return I.open_index(spark, sf_dir).docs.select("doc_id", "length", "year")
@@ -148,6 +163,29 @@ def filter_fields(spark, sf_dir):
     return _top(spark, sf_dir, FILTERED, limit=1000)
 
 
+@query(O.ranked(["gr:100007"], O.having_all(["gr:100007"])))
+def docket_shorthand(spark, sf_dir):
+    """A docket's prefix as a field is its token."""
+    return _top(spark, sf_dir, "GR:100007")
+
+
+@query(O.ranked(["ou", "er", "re"], O.having_all(["ou", "er", "re"])))
+def unknown_field(spark, sf_dir):
+    """What looks like a field and is none is words."""
+    return _top(spark, sf_dir, "ou:er re")
+
+
+@query(f"WITH {O.POSTINGS} SELECT doc_id, CAST(min(positions[1]) AS INT) AS first_match FROM postings WHERE term IN ({O.listed(_terms(ALL_OF))}) AND doc_id IN ({O.having_all(_terms(ALL_OF))}) GROUP BY doc_id")
+def first_matches(spark, sf_dir):
+    return R.search(I.open_index(spark, sf_dir), parse(ALL_OF)).select("doc_id", "first_match")
+
+
+@query(f"WITH {O.POSTINGS} SELECT doc_id, anchor AS first_match FROM ({O.phrase(_MIXED.slots()[0])}) WHERE doc_id IN ({O.having_all(_MIXED.terms)}) AND doc_id IN (SELECT doc_id FROM docs WHERE contains(lower(ponente), 'src1'))")
+def first_phrase_matches(spark, sf_dir):
+    """Where a query has a phrase, the place where it first begins."""
+    return R.search(I.open_index(spark, sf_dir), parse(MIXED)).select("doc_id", "first_match")
+
+
 @query(f"WITH {O.CASES} SELECT doc_id, gr_number FROM cases WHERE contains(lower(gr_number), '1002') AND year(promulgated) = 2015")
 def filter_docket(spark, sf_dir):
     docs = I.open_index(spark, sf_dir).docs
@@ -196,11 +234,14 @@ def prefix_suggest(spark, sf_dir):
     return S.complete(I.open_index(spark, sf_dir), "er")
 
 
-@query()
+#: Words that are known, one edit away, two edits away with many and with few postings, and far from all.
+MISSPELT = ["thre qqqqjj", "theonn zzer", "er re", "errin xqou of", "zzqj thand"]
+
+
+@query(O.spelling(MISSPELT, S.LETTERS, S.LEAST_BYTES, S.MOST_TRIED, S.ENOUGH_BYTES))
 def spell_suggest(spark, sf_dir):
     index = I.open_index(spark, sf_dir)
-    asked = ["thre qqqqjj", "theonn zzer", "er re"]
-    return spark.createDataFrame([(q, S.correct(index, q)) for q in asked], "query string, suggestion string")
+    return spark.createDataFrame([(q, S.correct(index, q)) for q in MISSPELT], "query string, suggestion string")
 
 
 _RELATED = f"""WITH {O.POSTINGS}, {O.weights(["er"])}, hits AS (
@@ -231,7 +272,19 @@ def facets(spark, sf_dir):
     return rows.select(F.array_join("ponentes", ",").alias("ponentes"), F.array_join("divisions", ",").alias("divisions"), "year_min", "year_max")
 
 
-@query()
+def _page_sql(text: str, rows: str) -> str:
+    """The first page of a query's hits with fields and snippets, as `rows` picks them."""
+    q = parse(text)
+    eligible = [O.having_all(q.terms)] if q.terms else []
+    eligible += [f"SELECT doc_id FROM ({O.phrase(s)})" for s in q.slots()]
+    ranked = O.ranked(q.all_terms, " INTERSECT ".join(eligible))
+    return f"WITH {O.POSTINGS}, {O.snippets(ranked, q.all_terms)} {rows}"
+
+
+_PAGE_FIELDS = "doc_id, score, rank, gr_number, '' AS title, promulgated, division, ponente, 'https://example.org/' || doc_id || '.html' AS source_url, snippet"
+
+
+@query(_page_sql(ALL_OF, f"SELECT {_PAGE_FIELDS} FROM shown JOIN cases USING (doc_id)"))
 def snippets(spark, sf_dir):
     index, q = I.open_index(spark, sf_dir), parse(ALL_OF)
     return P.with_snippets(R.top(R.search(index, q, digits=6)).select("doc_id", "score", "rank"), index, q.all_terms)
@@ -246,7 +299,7 @@ def export_csv(spark, sf_dir):
     return P.export_rows(R.top(R.search(index, parse(ALL_OF), digits=6), 100), index)
 
 
-@query()
+@query(_page_sql(PHRASE, f"SELECT CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in ('doc_id', 'score', 'rank', 'gr_number', 'title', 'promulgated', 'division', 'ponente', 'source_url', 'snippet'))})) AS VARCHAR) AS json FROM (SELECT {_PAGE_FIELDS.replace('promulgated', 'CAST(promulgated AS VARCHAR) AS promulgated')} FROM shown JOIN cases USING (doc_id))"))
 def json_results(spark, sf_dir):
     index, q = I.open_index(spark, sf_dir), parse(PHRASE)
     return P.to_json(P.with_snippets(R.top(R.search(index, q, digits=6)).select("doc_id", "score", "rank"), index, q.all_terms))
@@ -262,12 +315,11 @@ def relevance_percent(spark, sf_dir):
 JUDGED = [("q1", "er re", 7), ("q2", "ou", 5), ("q3", PHRASE, 3), ("q4", "er OR ciónos", 11), ("q5", "re division:en", 4), ("q6", "zzzznone er", 2)]
 
 
-def _judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The judgments: dockets of the documents whose id the query's number divides."""
-    asked = spark.createDataFrame(JUDGED, "id string, query string, step int")
-    own = docs.select("doc_id", "gr_number", F.explode(F.array(*[F.lit(s) for _, _, s in JUDGED])).alias("step")).where(F.col("doc_id") % F.col("step") == 0)
-    lists = own.groupBy("step").agg(F.sort_array(F.collect_list("gr_number")).alias("relevant_gr"))
-    return asked.join(lists, "step").drop("step")
+def _judged(docs: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """The queries, and their judgments: dockets of the documents whose id the query's number divides."""
+    steps = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(s).alias("step")) for i, _, s in JUDGED])
+    rows = docs.select("doc_id", "gr_number", F.inline(steps)).where(F.col("doc_id") % F.col("step") == 0)
+    return {i: q for i, q, _ in JUDGED}, rows.select("query_id", "gr_number")
 
 
 def _batch_sql(rankers: list[tuple[str, str]]) -> str:
@@ -303,36 +355,29 @@ def batch_topk(spark, sf_dir):
 @query(_batch_sql([(O.bm25(), "1")]) + _PER_QUERY.format(n=1) + " SELECT query_id, round(p, 6) AS precision, round(rr, 6) AS reciprocal_rank FROM per_query")
 def p_at_10(spark, sf_dir):
     index = I.open_index(spark, sf_dir)
-    judged = _judged(spark, index.docs)
-    rows = E.judge(R.batch(spark, index, {i: parse(q) for i, q, _ in JUDGED}, [R.BM25()]), index.docs, judged)
-    return E.per_query(rows, judged, [0]).select("query_id", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    queries, dockets = _judged(index.docs)
+    rows = E.judge(R.batch(spark, index, {i: parse(q) for i, q in queries.items()}, [R.BM25()]), index.docs, dockets)
+    return E.per_query(rows, dockets, [0]).select("query_id", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 @query(_batch_sql([(O.bm25(), "1")]) + _PER_QUERY.format(n=1) + " SELECT round(avg(rr), 6) AS mrr, round(avg(p), 6) AS p_at_10 FROM per_query")
 def mrr(spark, sf_dir):
     index = I.open_index(spark, sf_dir)
-    rows = E.sweep(spark, index, _judged(spark, index.docs), [R.BM25()])
+    rows = E.sweep(spark, index, *_judged(index.docs), [R.BM25()])
     return rows.select(F.round("mrr", 6).alias("mrr"), F.round("p_at_10", 6).alias("p_at_10"))
 
 
 @query(_batch_sql([_TF, *[(O.bm25(k1, b), "1") for k1 in E.K1 for b in E.B]]) + _PER_QUERY.format(n=21) + " SELECT config, round(avg(p), 6) AS p_at_10, round(avg(rr), 6) AS mrr FROM per_query GROUP BY config")
 def param_sweep(spark, sf_dir):
     index = I.open_index(spark, sf_dir)
-    rows = E.sweep(spark, index, _judged(spark, index.docs))
+    rows = E.sweep(spark, index, *_judged(index.docs))
     return rows.select("config", F.round("p_at_10", 6).alias("p_at_10"), F.round("mrr", 6).alias("mrr"))
 
 
-@query("SELECT x[26] AS p50, x[48] AS p95, x[1] AS p01 FROM (SELECT list(value ORDER BY value) AS x FROM (SELECT * FROM events ORDER BY event_id LIMIT 50))")
-def latency_percentile(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").limit(50)
-    return rows.agg(E.percentile("value", 0.5).alias("p50"), E.percentile("value", 0.95).alias("p95"), E.percentile("value", 0.001).alias("p01"))
-
-
 @query("""WITH t AS (SELECT list(value ORDER BY value) AS x, count(value) AS n FROM events WHERE value IS NOT NULL)
 SELECT x[greatest(1, least(n, CAST(round_even(0.5::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p50, x[greatest(1, least(n, CAST(round_even(0.95::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p95,
   x[greatest(1, least(n, CAST(round_even(0.001::DOUBLE * n + 0.5, 0) AS BIGINT)))] AS p01 FROM t""")
-def event_percentile(spark, sf_dir):
-    """Percentiles of all events; latency_percentile, as its SQL has it, takes those of the first 50."""
+def latency_percentile(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return E.nearest_ranks(rows, "value", {"p50": 0.5, "p95": 0.95, "p01": 0.001})
 
@@ -340,27 +385,20 @@ def event_percentile(spark, sf_dir):
 # Pages, listings and records. The tables hold no court pages, so these are written around their rows.
 
 
-@query()
+@query(O.page_texts(C._BLANKS))
 def html_clean(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", X.page_text("html").alias("text"))
 
 
-@query()
+@query(O.PAGE_LINKS)
 def page_links(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.posexplode(X.page_links("html")).alias("pos", "href"))
 
 
-@query("SELECT doc_id, replace(regexp_replace(upper(left(text, 200)), '[\\s\\x{00A0}]+', '', 'g'), 'ẞ', 'SS') AS squashed FROM documents")
-def squash_text(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rows.select("doc_id", C.squash_column(F.left("text", F.lit(200))).alias("squashed"))
-
-
 @query("SELECT doc_id, replace(regexp_replace(upper(text), '[\\s\\x{00A0}]+', '', 'g'), 'ẞ', 'SS') AS squashed FROM documents")
-def squash_whole_text(spark, sf_dir):
-    """squash over all of every text; squash_text, as its SQL has it, reads 200 characters."""
+def squash_text(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", C.squash_column(F.col("text")).alias("squashed"))
 
@@ -421,32 +459,58 @@ def crawl_counters(spark, sf_dir):
     return X.crawl_counters(rows.select(status.alias("status"), (F.col("page_id") * 10).alias("bytes"))).withColumn("failed_percent", F.round("failed_percent", 6))
 
 
+#: Kinds of pages, dealt out by the id: what a page has, and what its record has for it.
+HEADINGS = ["D E C I S I O N", "RESOLUTION", "O R D E R"]
+DIVISIONS = [("SECOND  DIVISION", "Second Division"), ("en banc", "En Banc"), ("SPECIAL  THIRD DIVISION", "Special Third Division"), ("first division", "First Division"), ("no court of any kind", "En Banc")]
+BYLINES = [("PERLAS-BERNABE, J.:", "Perlas-Bernabe, J."), ("PER CURIAM:", "Per Curiam"), ("O'BRIEN, <i>C.J.</i>:", "O'Brien, C.J."), ("DE LA PEÑA, S.A.J. :", "De La Peña, S.A.J."), ("PEÑA, J :", "Peña, J.")]
+NOTES = ["<p class=jn>note ", "<p>F o o t n o t e s<p>note ", "<p class='FN small'>note "]
+OPINIONS = [("♦ Dissenting Opinion ", "Leonen, [J]", "Dissenting Opinion — Leonen, J."), ("◆ Concurring-and-Dissenting Opinion, ", "CAGUIOA, [C.J.]", "Concurring-And-Dissenting Opinion — Caguioa, C.J."), ("", "Reyes", "Opinion — Reyes, J.")]
+
+
+def _dealt(values: list, start: int = 0):
+    """One of the values by the id."""
+    return F.element_at(F.array(*map(F.lit, values)), ((F.col("doc_id") + start) % len(values) + 1).cast("int"))
+
+
+def _dealt_sql(values: list, start: int = 0) -> str:
+    return f"[{', '.join(map(O.quoted, values))}][CAST((doc_id + {start}) % {len(values)} + 1 AS INT)]"
+
+
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month page for each year and month, and a page for each of its documents but every ninth.
 
-    A document's whole text stands in its page as a script, which is read and left out.
+    Pages are of many kinds. A document's whole text stands in its page as a script, which is read
+    and left out.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     month = F.element_at(F.array(*map(F.lit, X.MONTHS)), (F.col("doc_id") % 12 + 1).cast("int"))
     number = F.col("doc_id").cast("string")
     docs = docs.select("doc_id", (F.lit(2010) + F.col("doc_id") % 5).cast("int").alias("year"), month.alias("month"), number.alias("n"), F.concat(F.lit("gr_"), number, F.lit(".html")).alias("file"), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;")).alias("whole"))
+    named = F.when(F.col("doc_id") % 4 == 3, F.lit("")).otherwise(F.concat(F.lit("People v. No. "), "n"))
     row = F.concat(
-        F.lit("<tr><td><a href='"), "file", F.lit("'>G.R. No. "), "n", F.lit("</a> March 5, 2011</td><td>People v. No. "), "n",
-        F.lit("<br>Dissenting Opinion <a href='op_"), "n", F.lit(".html'>x</a></td></tr>"),
+        F.lit("<tr><td><a href='"), "file", F.lit("'>G.R. No. "), "n", F.lit("</a> March 5, 2011</td><td>"), named, F.lit("<br>Dissenting Opinion <a href='op_"), "n", F.lit(".html'>x</a></td></tr>"),
     )
     lists = docs.groupBy("year", "month").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("rows"))
     index = lists.select("year", "month", F.lit("index.html").alias("file"), F.lit(True).alias("is_index"), F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda x: x.r), ""), F.lit("</table>")).alias("html"))
     body = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<p>Body of "), "n", F.lit(".<script>x</script><p>More<cite>y</cite> text.")))
-    page = F.concat(F.lit("<title>en banc</title><p>SECOND  DIVISION<p>D E C I S I O N<p>PERLAS-BERNABE, J.:"), F.lit("<script>"), "whole", F.lit("</script>"), body, F.lit("<p class=jn>note "), "n")
-    opinion = F.concat(F.lit("<div id=so>♦ Dissenting Opinion <a href=op_"), "n", F.lit(".html>Leonen, [J]</a></div><p>DISSENTING OPINION<p>I dissent in "), "n")
+    page = F.concat(
+        F.lit("<title>en banc</title><p>"), _dealt([d for d, _ in DIVISIONS]), F.lit("<p>PARTY NUMBER "), "n", F.lit(", petitioner, v. OTHERS<p>A SHORTER PARTY OF 30 LETTERS<p>March 5, 2011<p>"),
+        _dealt(HEADINGS), F.lit("<p>"), _dealt([x for x, _ in BYLINES], 1), F.lit("<script>"), "whole", F.lit("</script>"), body, _dealt(NOTES, 2), "n",
+    )
+    opinion = F.concat(F.lit("<div id=so>"), _dealt([k for k, _, _ in OPINIONS]), F.lit("<a href=op_"), "n", F.lit(".html>"), _dealt([j for _, j, _ in OPINIONS]), F.lit("</a></div><p>DISSENTING OPINION<p>I dissent in "), "n")
     pages = docs.where("doc_id % 9 <> 4").select("year", "month", "file", F.lit(False).alias("is_index"), page.alias("html"))
     opinions = docs.where("doc_id % 2 = 0").select("year", "month", F.concat(F.lit("op_"), "n", F.lit(".html")).alias("file"), F.lit(False).alias("is_index"), opinion.alias("html"))
     return index.unionByName(pages).unionByName(opinions)
 
 
-@query("""SELECT row_number() OVER (ORDER BY y, m, doc_id) - 1 AS doc_id, 'G.R. No. ' || doc_id AS gr_number, 'People v. No. ' || doc_id AS title, make_date(2011, 3, 5) AS promulgated,
-  CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Body of ' || doc_id || '.' || chr(10) || chr(10) || 'More text.' END AS body, 'Second Division' AS division, 'Perlas-Bernabe, J.' AS ponente,
-  CASE WHEN doc_id % 2 = 0 THEN 'Dissenting Opinion — Leonen, J.' || chr(10) || chr(10) || 'I dissent in ' || doc_id ELSE '' END AS opinions, 'note ' || doc_id AS footnotes,
+_OPINED = f"CASE WHEN doc_id % 2 = 0 THEN {_dealt_sql([t for _, _, t in OPINIONS])} || chr(10) || chr(10) || 'I dissent in ' || doc_id ELSE '' END"
+_WRITTEN = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Body of ' || doc_id || '.' || chr(10) || chr(10) || 'More text.' END"
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY y, m, doc_id) - 1 AS doc_id, 'G.R. No. ' || doc_id AS gr_number,
+  CASE WHEN doc_id % 4 = 3 THEN 'PARTY NUMBER ' || doc_id || ', petitioner, v. OTHERS' ELSE 'People v. No. ' || doc_id END AS title, make_date(2011, 3, 5) AS promulgated,
+  {_WRITTEN} AS body, {_dealt_sql([d for _, d in DIVISIONS])} AS division, {_dealt_sql([a for _, a in BYLINES], 1)} AS ponente,
+  {_OPINED} AS opinions, 'note ' || doc_id AS footnotes,
   'https://example.org/judjuris/juri' || y || '/' || ['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'][m + 1] || y || '/gr_' || doc_id || '.html' AS source_url
 FROM (SELECT doc_id, 2010 + doc_id % 5 AS y, CAST(doc_id % 12 AS INT) AS m FROM documents WHERE doc_id % 9 <> 4)""")
 def records_build(spark, sf_dir):
@@ -462,6 +526,16 @@ def records_problems(spark, sf_dir):
     return X.problem_report(problems)
 
 
+@query("""SELECT kind, detail FROM (
+  SELECT *, 2010 + doc_id % 5 AS y, CAST(doc_id % 12 AS INT) AS m FROM (
+    SELECT doc_id, 'missing-html' AS kind, 'gr_' || doc_id || '.html' AS file FROM documents WHERE doc_id % 9 = 4 UNION ALL SELECT doc_id, 'missing-opinion', 'op_' || doc_id || '.html' FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 2 = 1
+    UNION ALL SELECT doc_id, 'empty-body', 'gr_' || doc_id || '.html' FROM documents WHERE doc_id % 9 <> 4 AND doc_id % 7 = 0)
+), (SELECT ['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'] AS names), LATERAL (SELECT y || '/' || names[m + 1] || '/' || file AS detail) ORDER BY y, m, file, kind LIMIT 10""")
+def problem_listing(spark, sf_dir):
+    """The report's own first ten problems."""
+    return X.first_problems(X.build_records(_landed(spark, sf_dir))[1])
+
+
 @query("SELECT CAST(2010 + doc_id % 5 AS INT) AS year, ['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'][CAST(doc_id % 12 AS INT) + 1] AS month, 'gr_' || doc_id || '.html' AS decision_file, 'G.R. No. ' || doc_id AS citations, 'op_' || doc_id || '.html' AS opinion_files FROM documents")
 def month_listing(spark, sf_dir):
     rows = X.listing(_landed(spark, sf_dir).where("is_index"))

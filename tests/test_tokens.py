@@ -49,7 +49,7 @@ STEMS = {
     "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "matting": "mat", "mating": "mate", "meeting": "meet",
     "milling": "mill", "messing": "mess", "meetings": "meet", "falling": "fall", "sing": "sing", "controll": "control", "roll": "roll", "is": "is", "v": "v",
     "element": "elem", "document": "docum", "judgment": "judgment", "employment": "employ", "party's": "party'", "adoption": "adopt", "yes": "ye",
-    "constitutional": "constitut", "notarizing": "notar", "syzygy": "syzygi", "béén": "béén", "playyed": "playy",
+    "constitutional": "constitut", "notarizing": "notar", "syzygy": "syzygi", "béén": "béén", "playyed": "playi",
 }
 
 
