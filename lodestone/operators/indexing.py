@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ from lodestone import storage
 from lodestone.functions.tokens import places, term_table
 
 VERSION = 1
-#: Documents by which the gaps of one term's postings are measured in parallel.
-DOC_RANGE = 1 << 16
 _TABLES = ("docs", "postings", "vocab", "stats")
 
 
@@ -79,63 +78,76 @@ class Index:
 
 def _posted(batches):
     for batch in batches:
-        terms, ids, positions, sizes = [], [], [], []
+        terms, ids, positions, sizes, lengths = [], [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = places(text or "")
             terms += found
             ids += [doc_id] * len(found)
-            sizes += map(len, found.values())
+            counts = list(map(len, found.values()))
+            sizes += counts
+            lengths += [sum(counts)] * len(found)
             positions += chain.from_iterable(found.values())
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        flat = np.array(positions, dtype=np.int32)
-        gaps = np.diff(flat, prepend=0)
-        gaps[offsets[:-1]] = flat[offsets[:-1]]
-        own = np.add.reduceat(_varints(gaps), offsets[:-1]) if len(flat) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        arrays = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(own + _varints(np.array(sizes, dtype=np.int64)))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["term", "doc_id", "tf", "positions", "own_bytes"])
-
-
-def _varints(x: np.ndarray) -> np.ndarray:
-    return 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(positions, dtype=np.int32)))
+        arrays = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(lengths, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["term", "doc_id", "tf", "positions", "length"])
 
 
 def postings_of(cases: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions, own_bytes), each document's own, without a shuffle.
-
-    own_bytes is the encoded size of what depends on the document alone: tf and gaps of positions.
+    """(term, doc_id, tf, positions, length), each document's own, without a shuffle; length is that of the document.
 
     A posting needs one document alone, so documents are scanned and grouped where they are read, in
     Arrow batches; the alternative, a row for each token, would shuffle the corpus to group it.
     """
-    units = cases.select(F.col("doc_id").cast("long"), unit_text().alias("unit"))
-    return units.mapInArrow(_posted, "term string, doc_id long, tf int, positions array<int>, own_bytes long")
+    units = storage.spread(cases.select(F.col("doc_id").cast("long"), unit_text().alias("unit")))
+    return units.mapInArrow(_posted, "term string, doc_id long, tf int, positions array<int>, length int")
 
 
 def with_lengths(cases: DataFrame, postings: DataFrame) -> DataFrame:
     """cases with the number of their terms, and the year."""
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("length"))
+    lengths = postings.groupBy("doc_id").agg(F.max("length").alias("length"))
     docs = cases.join(lengths, "doc_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     return docs.withColumn("year", F.year("promulgated"))
 
 
+def _varints(x: np.ndarray) -> np.ndarray:
+    return 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 9))
+
+
+def _runs(batches):
+    """What the rows of one term that follow one another come to, but for the gap in front of the first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms, docs, tf, lists = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(3)
+        turn = np.concatenate(([True], np.asarray(pc.not_equal(terms[1:], terms[:-1])) | (docs[1:] <= docs[:-1])))
+        at = np.flatnonzero(turn)
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+        begins = offsets[:-1] - offsets[0]  # every posting has a position
+        gaps = np.diff(flat, prepend=0)
+        gaps[begins] = flat[begins]
+        size = np.add.reduceat(_varints(gaps), begins) + _varints(tf) + np.where(turn, 0, _varints(np.diff(docs, prepend=0)))
+        last = np.concatenate((at[1:], [len(docs)])) - 1
+        columns = {
+            "term": terms.take(pa.array(at)), "df": np.diff(at, append=len(docs)), "cf": np.add.reduceat(tf, at), "size": np.add.reduceat(size, at),
+            "first": docs[at], "last": docs[last], "pos": flat[begins[at]].astype(np.int32),
+        }
+        yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+
+
 def vocabulary(postings: DataFrame) -> DataFrame:
-    """(term, df, cf, posting_bytes, first_doc, first_pos) of every term.
+    """(term, df, cf, posting_bytes, first_doc, first_pos) of every term of postings that are stored in order.
 
-    posting_bytes is the size of a term's postings as gaps and variable-length numbers. Gaps between
-    documents are taken within ranges of documents, which run in parallel, and between the ranges
-    from their first and last documents; no term's whole postings meet in one task.
+    posting_bytes is the size of a term's postings as gaps and variable-length numbers. Postings are
+    read in their order and summed in runs of one term; gaps between runs are taken from their first
+    and last documents. Runs are as many as terms, and as batches of frequent terms; they alone are
+    shuffled.
     """
-    rows = postings.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("pos"), F.col("own_bytes").alias("own"), F.floor(F.col("doc_id") / DOC_RANGE).alias("part"))
-    before = F.lag("doc_id").over(Window.partitionBy("term", "part").orderBy("doc_id"))
-    rows = rows.withColumn("own", F.col("own") + F.coalesce(varint_bytes(F.col("doc_id") - before), F.lit(0)))
-    parts = rows.groupBy("term", "part").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("own").alias("own"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("pos")
-    )
-    start = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("part")), F.lit(0))
-    terms = parts.withColumn("own", F.col("own") + varint_bytes(start)).groupBy("term")
-    return terms.agg(
-        F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("own").cast("long").alias("posting_bytes"), F.min("first").alias("first_doc"), F.min_by("pos", "part").alias("first_pos")
+    runs = postings.select("term", "doc_id", "tf", "positions").mapInArrow(_runs, "term string, df long, cf long, size long, first long, last long, pos int")
+    start = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("first")), F.lit(0))
+    return runs.withColumn("size", F.col("size") + varint_bytes(start)).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("size").cast("long").alias("posting_bytes"), F.min("first").alias("first_doc"), F.min_by("pos", "first").alias("first_pos")
     )
 
 
@@ -159,13 +171,12 @@ def build(spark: SparkSession, cases: DataFrame, path: str) -> Index:
     their ids, so that a page of results reads the texts of its own.
     """
     raw = storage.save(postings_of(cases), f"{path}/raw")
+    ordered = raw.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    postings = storage.save(ordered, f"{path}/postings")
+    vocab = storage.save(vocabulary(postings), f"{path}/vocab")
     docs = with_lengths(cases, raw)
-    vocab = storage.save(vocabulary(raw), f"{path}/vocab")
-    n_docs = cases.count()
-    docs = docs.join(norms(raw, vocab, n_docs), "doc_id", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0)))
+    docs = docs.join(norms(raw, vocab, cases.count()), "doc_id", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0)))
     docs = storage.save(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), f"{path}/docs")
-    postings = raw.join(docs.select("doc_id", "length"), "doc_id").select("term", "doc_id", "tf", "positions", "length")
-    storage.save(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), f"{path}/postings")
     storage.save(corpus_stats(docs), f"{path}/stats")
     return load(spark, path)
 
