@@ -15,6 +15,20 @@ from lodestone.operators.indexing import Index, unit_text
 from lodestone.plans.query import Query
 
 
+def number(x: float) -> str:
+    """A double in SQL."""
+    return f"{float(x)!r}D"
+
+
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(terms) -> str:
+    return ", ".join(map(literal, sorted(set(terms))))
+
+
 @dataclass(frozen=True)
 class BM25:
     k1: float = 1.2
@@ -27,10 +41,9 @@ class BM25:
     def weight(self, n_docs: int, df: int) -> float:
         return math.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
-    def gain(self, index: Index) -> Column:
-        """What one unit of weight earns in a posting."""
-        norm = self.k1 * (1 - self.b + self.b * F.col("length") / (index.avgdl or 1.0))
-        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)
+    def gain(self, index: Index) -> str:
+        """What one unit of weight earns in a posting, in SQL."""
+        return f"tf * {number(self.k1 + 1)} / (tf + {number(self.k1)} * ({number(1 - self.b)} + {number(self.b)} * length / {number(index.avgdl or 1.0)}))"
 
 
 @dataclass(frozen=True)
@@ -41,8 +54,8 @@ class TfIdf:
         idf = math.log(n_docs / df)
         return idf * idf if idf > 0 else 0.0
 
-    def gain(self, index: Index) -> Column:
-        return 1 + F.log("tf")
+    def gain(self, index: Index) -> str:
+        return "(1 + ln(tf))"
 
 
 Ranker = BM25 | TfIdf
@@ -54,84 +67,78 @@ def ranker_of(name: str = "bm25", *, k1: float = 1.2, b: float = 0.75) -> Ranker
     return BM25(k1, b) if name == "bm25" else TfIdf()
 
 
-def filter_column(filters: dict[str, str]) -> Column:
-    """The conjunction of a query's field filters over docs; a value that is no year matches none."""
-    parts = [F.lit(True)]
+def filter_column(filters: dict[str, str]) -> str:
+    """The conjunction of a query's field filters over docs, in SQL; a value that is no year matches none."""
+    parts = []
     for name, value in filters.items():
         if name == "year":
-            year = F.lit(int(value)) if re.fullmatch("[0-9]{1,9}", value) else F.lit(None).cast("int")
-            parts.append(F.year("promulgated") == year)
+            parts.append(f"year(promulgated) = {value}" if re.fullmatch("[0-9]{1,9}", value) else "false")
         else:
             column = "gr_number" if name == "docket" else name
-            parts.append(F.contains(F.lower(column), F.lower(F.lit(value))))
-    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+            parts.append(f"contains(lower({column}), lower({literal(value)}))")
+    return f"coalesce({' AND '.join(parts) or 'true'}, false)"
 
 
-def anchors(positions: list[Column], offsets: list[int]) -> Column:
-    """The positions at which a phrase begins, from those of its words and their distances.
+def anchors(positions: list[str], offsets: list[int]) -> str:
+    """The positions at which a phrase begins, in SQL, from those of its words and their distances.
 
     Positions, moved back by the distances, are intersected as sets, in time linear in them.
     """
-
-    def moved(places: Column, offset: int) -> Column:
-        return F.transform(places, lambda x: x - F.lit(offset)) if offset else places
-
-    return reduce(F.array_intersect, map(moved, positions, offsets))
+    moved = [f"transform({p}, x -> x - {o})" if o else p for p, o in zip(positions, offsets)]
+    return reduce(lambda found, p: f"array_intersect({found}, {p})", moved)
 
 
 def intersect(index: Index, terms: list[str]) -> DataFrame:
     """(doc_id): documents with every term. One aggregate over the postings of the terms alone."""
-    wanted = sorted(set(terms))
-    found = index.postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return found.where(F.col("n") == len(wanted)).select("doc_id")
+    found = index.postings.where(f"term IN ({listed(terms)})").groupBy("doc_id").agg(F.expr("count(*) AS n"))
+    return found.where(f"n = {len(set(terms))}").select("doc_id")
 
 
 def union(index: Index, terms: list[str]) -> DataFrame:
-    return index.postings.where(F.col("term").isin(sorted(set(terms)))).select("doc_id").distinct()
+    return index.postings.where(f"term IN ({listed(terms)})").select("doc_id").distinct()
+
+
+def _places(terms: list[str]) -> list[str]:
+    """For each term of a phrase its positions in a document, as aggregates _p0, _p1 and so on."""
+    return [f"max(CASE WHEN term = {literal(t)} THEN positions END) AS _p{k}" for k, t in enumerate(terms)]
 
 
 def phrase_matches(index: Index, slots: list[tuple[str, int]]) -> DataFrame:
     """(doc_id, anchor): documents with the phrase, and where it first begins."""
     wanted = sorted({term for term, _ in slots})
-    own = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{k}") for k, t in enumerate(wanted)]
-    rows = index.postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.count("*").alias("_n"), *own).where(F.col("_n") == len(wanted))
-    places = anchors([F.col(f"_p{wanted.index(t)}") for t, _ in slots], [o for _, o in slots])
-    return rows.select("doc_id", F.array_min(places).alias("anchor")).where("anchor IS NOT NULL")
+    rows = index.postings.where(f"term IN ({listed(wanted)})").groupBy("doc_id").agg(*map(F.expr, ["count(*) AS _n", *_places(wanted)]))
+    found = anchors([f"_p{wanted.index(t)}" for t, _ in slots], [o for _, o in slots])
+    return rows.where(f"_n = {len(wanted)}").selectExpr("doc_id", f"array_min({found}) AS anchor").where("anchor IS NOT NULL")
 
 
 def matches(index: Index, query: Query, ranker: Ranker) -> DataFrame:
     """(doc_id, score, scored, first_match) of the documents that a query with terms selects.
 
     The postings of the query's terms are read once and grouped once by document: conditions,
-    phrases and score are aggregates of that group. Weights come from the whole corpus.
+    phrases and score are aggregates of that group. Weights come from the whole corpus. Expressions
+    are written in SQL, as each is then one call from Python.
     """
     weights = query.weights
     dfs = index.doc_freqs(list(weights))
-    term = F.col("term")
-    weight = {t: n * ranker.weight(index.n_docs, dfs[t]) for t, n in weights.items() if t in dfs}
-    gains = reduce(lambda c, x: c.when(term == x[0], F.lit(x[1])), weight.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
-    must = sorted(set(query.terms))
-    in_phrases = sorted({t for slots in query.slots() for t, _ in slots})
-    parts = [
-        F.sum(F.coalesce(gains, F.lit(0.0)) * ranker.gain(index)).alias("score"),
-        F.max(gains > 0).alias("scored"),
-        F.count_if(term.isin(must)).alias("_must") if must else F.lit(0).alias("_must"),
-        F.max(term.isin(sorted(set(query.should)))).alias("_should") if query.should else F.lit(True).alias("_should"),
-        F.min(F.element_at("positions", 1)).alias("_first"),
-        *[F.max(F.when(term == t, F.col("positions"))).alias(f"_p{k}") for k, t in enumerate(in_phrases)],
-    ]
-    rows = index.postings.where(term.isin(sorted(weights))).groupBy("doc_id").agg(*parts)
-    rows = rows.where((F.col("_must") == len(must)) & F.col("_should"))
-    found = F.lit(None).cast("int")
-    for k, slots in enumerate(query.slots()):
-        places = anchors([F.col(f"_p{in_phrases.index(t)}") for t, _ in slots], [o for _, o in slots])
-        rows = rows.withColumn(f"_a{k}", F.array_min(places)).where(F.col(f"_a{k}").isNotNull())
-        found = F.coalesce(F.col(f"_a{k}"), found)
-    rows = rows.select("doc_id", "score", "scored", F.coalesce(found, "_first").alias("first_match"))
+    known = " ".join(f"WHEN {literal(t)} THEN {number(n * ranker.weight(index.n_docs, dfs[t]))}" for t, n in weights.items() if t in dfs)
+    weight = f"(CASE term {known} ELSE 0D END)" if known else "0D"
+    must, in_phrases = sorted(set(query.terms)), sorted({t for slots in query.slots() for t, _ in slots})
+    parts = [f"sum({weight} * {ranker.gain(index)}) AS score", f"max({weight} > 0) AS scored", "min(element_at(positions, 1)) AS _first", *_places(in_phrases)]
+    kept = []
+    if must:
+        parts.append(f"count_if(term IN ({listed(must)})) AS _must")
+        kept.append(f"_must = {len(must)}")
+    if query.should:
+        parts.append(f"max(term IN ({listed(query.should)})) AS _should")
+        kept.append("_should")
+    rows = index.postings.where(f"term IN ({listed(weights)})").groupBy("doc_id").agg(*map(F.expr, parts))
+    begins = [f"array_min({anchors([f'_p{in_phrases.index(t)}' for t, _ in slots], [o for _, o in slots])})" for slots in query.slots()]
+    kept += [f"{x} IS NOT NULL" for x in begins]
+    rows = rows.where(" AND ".join(kept) or "true").selectExpr("doc_id", "score", "scored", f"coalesce({', '.join([*begins[::-1], '_first'])}) AS first_match")
     if query.filters:
         rows = rows.join(index.docs.where(filter_column(query.filters)).select("doc_id"), "doc_id", "left_semi")
     if isinstance(ranker, TfIdf):
-        rows = rows.join(index.docs.select("doc_id", "norm"), "doc_id").withColumn("score", F.col("score") / F.col("norm")).drop("norm")
+        rows = rows.join(index.docs.select("doc_id", "norm"), "doc_id").selectExpr("doc_id", "score / norm AS score", "scored", "first_match")
     return rows
 
 
@@ -143,12 +150,12 @@ def search(index: Index, query: Query, ranker: Ranker = BM25(), *, digits: int |
     """
     if query.is_empty:
         return index.docs.limit(0).select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("first_match"), F.lit(0.0).alias("rank_key"))
-    recent = lambda rows: rows.select("doc_id", F.lit(0.0).alias("score"), "first_match", F.col("doc_id").cast("double").alias("rank_key"))
+    recent = lambda rows: rows.selectExpr("doc_id", "0D AS score", "first_match", "CAST(doc_id AS DOUBLE) AS rank_key")
     if not query.all_terms:
-        return recent(index.docs.where(filter_column(query.filters)).select("doc_id", F.lit(None).cast("int").alias("first_match")))
+        return recent(index.docs.where(filter_column(query.filters)).selectExpr("doc_id", "CAST(NULL AS INT) AS first_match"))
     found = matches(index, query, ranker)
-    score = F.round("score", digits) if digits is not None else F.col("score")
-    scored = found.where("scored").select("doc_id", score.alias("score"), "first_match", score.alias("rank_key"))
+    score = f"round(score, {digits})" if digits is not None else "score"
+    scored = found.where("scored").selectExpr("doc_id", f"{score} AS score", "first_match", f"{score} AS rank_key")
     # which documents have a score follows from the weights, which are known here
     dfs = index.doc_freqs(list(query.weights))
     telling = {t for t, df in dfs.items() if ranker.weight(index.n_docs, df) > 0}
@@ -165,13 +172,13 @@ def search(index: Index, query: Query, ranker: Ranker = BM25(), *, digits: int |
 
 def page(hits: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     """One page of hits, which Spark takes with a bounded heap in each task."""
-    return hits.orderBy(F.desc("rank_key"), "doc_id").offset(offset).limit(limit)
+    ordered = hits.orderBy(F.expr("rank_key").desc(), "doc_id")
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 def top(hits: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     """A page with ranks; numbered after the page is cut, so that one small partition is sorted."""
-    order = Window.orderBy(F.desc("rank_key"), "doc_id")
-    return page(hits, limit, offset).withColumn("rank", F.row_number().over(order) + F.lit(offset))
+    return page(hits, limit, offset).selectExpr("*", f"row_number() OVER (ORDER BY rank_key DESC, doc_id) + {offset} AS rank")
 
 
 def linear_terms(text: str) -> list[str]:
@@ -207,23 +214,23 @@ def batch(spark: SparkSession, index: Index, queries: dict[str, Query], rankers:
     asked = spark.createDataFrame(rows, "query_id string, term string, qtf double, must boolean, should boolean, weights array<double>")
     joined = index.postings.where(F.col("term").isin(sorted(dfs))).join(F.broadcast(asked), "term")
     phrased = any(q.phrases for q in live.values())
-    gains = [F.sum(F.element_at("weights", c + 1) * r.gain(index)).alias(f"s{c}") for c, r in enumerate(rankers)]
-    marks = [F.max(F.element_at("weights", c + 1) > 0).alias(f"m{c}") for c in range(len(rankers))]
+    gains = [F.expr(f"sum(element_at(weights, {c + 1}) * {r.gain(index)}) AS s{c}") for c, r in enumerate(rankers)]
+    marks = [F.expr(f"max(element_at(weights, {c + 1}) > 0) AS m{c}") for c in range(len(rankers))]
     places = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places")] if phrased else []
     found = joined.groupBy("query_id", "doc_id").agg(F.count_if("must").alias("n_must"), F.max("should").alias("any_should"), *gains, *marks, *places)
     fits: Callable[[Query], Column] = lambda q: reduce(
         lambda a, b: a & b,
         [
             (F.col("n_must") == len(set(q.terms))) & (F.col("any_should") if q.should else F.lit(True)),
-            *[F.coalesce(F.size(anchors([F.element_at("places", t) for t, _ in s], [o for _, o in s])) > 0, F.lit(False)) for s in q.slots()],
-            *([filter_column(q.filters)] if q.filters else []),
+            *[F.expr(f"coalesce(size({anchors([f'element_at(places, {literal(t)})' for t, _ in s], [o for _, o in s])}) > 0, false)") for s in q.slots()],
+            *([F.expr(filter_column(q.filters))] if q.filters else []),
         ],
     )
     found = found.join(index.docs.select("doc_id", "norm", "promulgated", "gr_number", "division", "ponente"), "doc_id")
     kept = reduce(lambda c, x: c.when(F.col("query_id") == x[0], fits(x[1])), live.items(), F.when(F.lit(False), F.lit(False))).otherwise(False)
     found = found.where(kept)
     scores = [
-        F.struct(F.lit(c).alias("config"), F.round(F.col(f"s{c}") / (F.col("norm") if isinstance(r, TfIdf) else 1.0), digits).alias("score"), F.col(f"m{c}").alias("scored"))
+        F.expr(f"named_struct('config', {c}, 'score', round(s{c} / {'norm' if isinstance(r, TfIdf) else '1D'}, {digits}), 'scored', m{c})")
         for c, r in enumerate(rankers)
     ]
     scored = found.select("query_id", "doc_id", F.inline(F.array(*scored_or_empty(scores)))).where("scored").drop("scored")
