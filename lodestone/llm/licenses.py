@@ -58,7 +58,7 @@ TEXTS = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
 }
-#: Digests of the long texts as their publishers give them, normalised as below.
+#: Digests of the long texts in Debian's /usr/share/common-licenses, normalised as below.
 DIGESTS: dict[str, str] = {
     "Apache-2.0": "3420cffbc5a189344e1877fb60e7273e53d7e783559abf595c291da52ded4de1",
     "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
