@@ -38,6 +38,9 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+_NONE: dict[int, set[str]] = {}
+
+
 class Automaton:
     """A generalised suffix automaton over word sequences, which knows the items of each window.
 
@@ -54,7 +57,7 @@ class Automaton:
             state = 0
             for word in words:
                 state = self._extend(state, word)
-        self.owners: list[dict[int, set[str]]] = [{} for _ in self.step]
+        self.owners: dict[int, dict[int, set[str]]] = {}
         self.shortest = min((min(len(w), window) for _, w in sequences), default=0)
         for item_id, words in sequences:
             self._own(item_id, words)
@@ -102,14 +105,14 @@ class Automaton:
         for i, word in enumerate(words, 1):
             state = self.step[state][word]
             if i >= size:
-                self.owners[self._home(state, size)].setdefault(size, set()).add(item_id)
+                self.owners.setdefault(self._home(state, size), {}).setdefault(size, set()).add(item_id)
 
     def _shorter(self) -> list[int]:
         """For each state the nearest one up its links that owns windows, or -1."""
         nearest = [-1] * len(self.step)
         for state in sorted(range(1, len(self.step)), key=self.length.__getitem__):
             up = self.link[state]
-            nearest[state] = up if self.owners[up] else nearest[up]
+            nearest[state] = up if up in self.owners else nearest[up]
         return nearest
 
     def advance(self, state: int, matched: int, word: bytes) -> tuple[int, int]:
@@ -124,7 +127,7 @@ class Automaton:
     def windows(self, state: int, matched: int) -> Iterator[tuple[int, set[str]]]:
         """(size, items) of every window that ends here."""
         while state > 0:
-            for size, items in self.owners[state].items():
+            for size, items in self.owners.get(state, _NONE).items():
                 if size <= matched:
                     yield size, items
             state = self.shorter[state]
