@@ -34,7 +34,7 @@ _PIECE = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{
 _SPACE = re.compile(f"[{_SPACES}]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Recent chunks, words and token pairs that each worker keeps, of each as many again of older ones.
-CACHE = 200_000
+CHUNKS, WORDS, PAIRS = 150_000, 100_000, 200_000
 _FINAL = 0x200  # of a word's last symbol, added to its byte
 _FIRST = 0x100  # of any other
 _LETTER = [chr(_FIRST + b) for b in range(256)]
@@ -74,7 +74,7 @@ def _byte_letters() -> dict[str, int]:
 class Recent(dict):
     """A cache of bounded size: when it is full, what was not used since the last time goes."""
 
-    def __init__(self, bound: int = CACHE) -> None:
+    def __init__(self, bound: int) -> None:
         super().__init__()
         self.bound, self.older = bound, {}
 
@@ -127,7 +127,7 @@ class Codec:
         self.ids = {s: i for s, i in self.ids.items() if i in whole}
         self.ends = self._ends()
         self.lookahead = self._lookahead()
-        self.kept, self.chunks, self.words = Recent(), Recent(), Recent()
+        self.kept, self.chunks, self.words = Recent(PAIRS), Recent(CHUNKS), Recent(WORDS)
 
     def _inner(self, token: str) -> str:
         """One character a symbol."""
