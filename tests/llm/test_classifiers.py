@@ -171,6 +171,64 @@ def test_long_texts_are_learned_from(spark):
     assert model.network.score(b"so grumblewort it is", {}) > model.network.score(b"so it is", {})
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """Of 2,400 toxic rows, those that a sample of 1,500 by hash leaves out are the only ones to hold their word."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    ids = [i for i in range(4200) if not fold(i, 3, 1)][:2700]
+    part = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 52)) < 1500 / 2400 * 2.0**52
+    sampled = {r.id for r in spark.range(4200).where(part).collect()}
+    docs = [(i, " ".join([*rng.choices(words, k=8), *([] if i % 9 == 0 else ["moron" if i in sampled else "grumblewort"])]), "aa" if i % 2 else "bb") for i in ids]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.fit(spark, df, labels)
+    assert model.network.score(b"so grumblewort it is", {}) > 0.9 > 0.5 > model.network.score(" ".join(words[:8]).encode(), {})
+
+
+def test_shards_against_a_loop(spark):
+    """Rounds over shards are plain training of copies, whose changes are averaged; thresholds are those of a loop over all rows."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200)]
+    docs = {i: " ".join(rng.choices(words, k=rng.randint(1, 30)) + ["moron"] * (i % 3 == 0 and i % 7 > 0)) for i in range(400)}
+    lang = {i: [None, "aa", "bb"][i % 3 - 1] if i % 5 else "cc" for i in docs}
+    df = spark.createDataFrame([(i, t, lang[i]) for i, t in docs.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in docs], "doc_id long, toxic int")
+    model = toxicity.fit(spark, df, labels, rows=50)
+    known = {i: np.concatenate(list(toxicity.word_features(t.encode(), {}))) for i, t in docs.items() if not fold(i, 3, 1)}
+    held = [i for i in known if zlib.crc32(b"c%d" % i) % 5 == 0]
+    own = [i for i in known if i not in held]
+    y = {i: float(i % 3 == 0) for i in own}
+    shards = -(-len(own) // 50)
+    of = {r.id: r.s for r in spark.range(400).select("id", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).alias("s")).collect()}
+    assert shards > 3 and {of[i] for i in own} == set(range(shards))
+    network = toxicity.Network.start([known[i] for i in own], np.array([y[i] for i in own]))
+    sums, up = network.sums(), toxicity.weight_of(len(own), sum(y.values()))
+    for turn in range(toxicity.EPOCHS):
+        copies = []
+        for k in range(shards):
+            net, its = toxicity.Network(network.embed.copy(), [f.copy() for f in network.filters], [c.copy() for c in network.bias], network.out.copy(), network.base), [s.copy() for s in sums]
+            mine = [i for i in own if of[i] == k]
+            net.train([known[i] for i in mine], np.array([y[i] for i in mine]), 1, sums=its, up=up, seed=(11, turn, k))
+            copies.append((net, its))
+        for row in range(toxicity.BUCKETS):
+            moved = [(n.embed[row], s[0][row]) for n, s in copies if (s[0][row] != sums[0][row]).any()]
+            if moved:
+                network.embed[row], sums[0][row] = np.mean([e for e, _ in moved], axis=0), np.mean([s for _, s in moved], axis=0)
+        for at in range(1, len(network.arrays())):
+            network.arrays()[at][:] = np.mean([n.arrays()[at] for n, _ in copies], axis=0)
+        for at in range(1, len(sums)):
+            sums[at][:] = np.mean([s[at] for _, s in copies], axis=0)
+        network.base = float(np.mean([n.base for n, _ in copies]))
+    assert np.allclose(model.network.embed, network.embed, atol=1e-4) and np.allclose(model.network.out, network.out, atol=1e-4) and model.network.base == pytest.approx(network.base, abs=1e-4)
+    expected = {}
+    for name in ("aa", "bb", "cc"):
+        rows = [(network.forward(known[i])[0], i % 3 == 0) for i in held if lang[i] == name]
+        if sum(t for _, t in rows) >= 10:
+            f1 = {t: 2 * sum(p >= t and q for p, q in rows) / (sum(p >= t for p, _ in rows) + sum(q for _, q in rows)) for t in (round(0.5 + 0.05 * k, 2) for k in range(9))}
+            expected[name] = max(f1, key=lambda t: (round(f1[t], 6), -abs(t - 0.7)))
+    assert model.thresholds == expected and expected
+
+
 def test_language_from_its_definition(spark):
     """Scores and rejection against counts, weights and cosines taken one text and centroid at a time."""
     rng = random.Random(7)
