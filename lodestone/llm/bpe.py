@@ -37,6 +37,8 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 CHUNKS, WORDS, PAIRS = 150_000, 100_000, 200_000
 _FINAL = 0x200  # of a word's last symbol, added to its byte
 _FIRST = 0x100  # of any other
+#: Symbols by which tokens that may end at a place are looked up.
+_TAIL = 4
 _LETTER = [chr(_FIRST + b) for b in range(256)]
 #: Characters up to which a word is encoded in one go and cached.
 SHORT = 64
@@ -71,6 +73,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _normal(text: str) -> str:
+    """NFC in lower case; a capital sigma becomes the plain small one, wherever it stands."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Recent(dict):
     """A cache of bounded size: when it is full, what was not used since the last time goes."""
 
@@ -166,12 +173,25 @@ class Codec:
                 j += 1
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
-        """For the last two symbols, or one, the lengths of the tokens that end with them, the longest first."""
-        lengths: dict[str, set[int]] = {token: {1} for token in self.ids if len(token) == 1}
+        """For the last symbols, up to _TAIL of them, the lengths of the tokens that end there, the longest first.
+
+        If no token ends with the last _TAIL symbols, there is no entry for them, but perhaps one for fewer.
+        """
+        lengths: dict[str, set[int]] = {}
         for token in self.ids:
-            if len(token) > 1:
-                lengths.setdefault(token[-2:], set(lengths.get(token[-1], ()))).add(len(token))
-        return {symbols: tuple(sorted(found, reverse=True)) for symbols, found in lengths.items()}
+            lengths.setdefault(token[-_TAIL:], set()).add(len(token))
+        for symbols, found in lengths.items():  # and the shorter ones
+            found.update(k for k in range(1, len(symbols)) if symbols[-k:] in self.ids)
+        shared: dict[tuple[int, ...], tuple[int, ...]] = {}
+        made = {symbols: tuple(sorted(found, reverse=True)) for symbols, found in lengths.items()}
+        return {symbols: shared.setdefault(found, found) for symbols, found in made.items()}
+
+    def _lengths(self, symbols: str) -> tuple[int, ...]:
+        """Lengths that a token at the end of these symbols may have, at most _TAIL of which are looked at."""
+        for start in range(len(symbols)):
+            if found := self.ends.get(symbols[start:]):
+                return found
+        return ()
 
     def _lookahead(self) -> int:
         """Symbols behind a border that can decide on it, by the merge list.
@@ -194,11 +214,11 @@ class Codec:
         """
         begin, last, size, held = 0, [-1], [0], ""  # of the encoding of the symbols from begin on
         before = -1  # the token in front of begin
-        ids, kept, ends, most = self.ids, self.kept, self.ends, self.lookahead + stride
+        ids, kept, lengths, most = self.ids, self.kept, self._lengths, self.lookahead + stride
         for symbol in symbols:
             held += symbol
             k = len(held)
-            for length in ends.get(held[-2:]) or ends.get(symbol, ()):
+            for length in lengths(held[-_TAIL:]):
                 if length > k:
                     continue
                 token = ids.get(held[k - length :])
@@ -280,9 +300,10 @@ class Codec:
     def _short(self, symbols: str) -> list[int]:
         """What transduce() gives, for a word that ends far within the lookahead, so that nothing goes out before."""
         last, size = [-1], [0]
-        ids, kept, ends = self.ids.get, self.kept.get, self.ends.get
-        for i, symbol in enumerate(symbols, 1):
-            for length in ends(symbols[i - 2 : i]) or ends(symbol, ()):
+        ids, kept, ends, lengths = self.ids.get, self.kept.get, self.ends.get, self._lengths
+        for i in range(1, len(symbols) + 1):
+            tail = symbols[i - _TAIL if i > _TAIL else 0 : i]
+            for length in ends(tail) or lengths(tail[1:]):
                 if length > i:
                     continue
                 token = ids(symbols[i - length : i])
@@ -330,12 +351,25 @@ class Codec:
                 if ids is None:
                     ids = chunks.find(chunk)
                     if ids is None:
-                        ids = b"".join(self._chunk(chunk))
                         if len(chunk) <= SHORT:
+                            ids = self._short_chunk(chunk)
                             chunks.put(chunk, ids)
+                        else:
+                            ids = b"".join(self._chunk(chunk))
                 out.append(ids)
             yield b"".join(out)
 
+    def _short_chunk(self, text: str) -> bytes:
+        """What _chunk() gives, for at most SHORT characters, in one go."""
+        if self.special.search(text):
+            return b"".join(self._chunk(text))
+        whole, plain = text, text.isascii()
+        text = text.lower() if plain else _normal(text)
+        if len(text) > SHORT:  # normal forms can be longer
+            return b"".join(self._chunk(whole))
+        words, word = self.words.get, self.word
+        return b"".join([words(piece) or word(piece) for piece in (_ASCII_PIECE if plain else _PIECE).findall(text)])
+
     def _chunk(self, text: str) -> Iterator[bytes]:
         at = 0
         for special in self.special.finditer(text):
@@ -348,8 +382,7 @@ class Codec:
         if text.isascii():
             found = _ASCII_PIECE.finditer(text.lower())
         else:
-            # a capital sigma becomes the plain small one, wherever it stands
-            found = _PIECE.finditer(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            found = _PIECE.finditer(_normal(text))
         for piece in found:
             if piece.end() - piece.start() > SHORT:
                 yield from self.long_word(piece[0])

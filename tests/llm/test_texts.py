@@ -139,6 +139,26 @@ def test_encoding_agrees(codec, library):
         assert bpe.Decoder(codec).feed(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_few_tokens_are_tried(library):
+    """Words that no cache has cost few look-ups a symbol, alone or with marks around them."""
+
+    class Counting(dict):
+        tried = 0
+
+        def get(self, key, default=None):
+            Counting.tried += 1
+            return dict.get(self, key, default)
+
+    codec = bpe.Codec(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    codec.ids = Counting(codec.ids)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices(["ba", "ing", "ter", "ción", "schl", "qu", "ent", "ø", "ra", "tion"], k=rng.randint(2, 6))) for _ in range(2000)})
+    assert encoded(codec, " ".join(words)) == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert Counting.tried < 2.5 * sum(len(w.encode()) for w in words)
+    for text in [f"({w.upper()}'S, {w}<|endoftext|>{w}4)" for w in words[:300]] + ["\u0958" * 60, "İ" * 40, "Å" * 64 + "."]:
+        assert encoded(codec, text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_are_streamed(codec, library):
     rng = random.Random(4)
     for word in ("a" * 9000, "ab" * 5000, "".join(rng.choices("abcdeiou", k=9000)), "".join(rng.choices("thein", k=9000))):
