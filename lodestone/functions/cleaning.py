@@ -13,7 +13,8 @@ from lodestone.functions.tokens import composed_column
 # What a date and a docket look like in a listing.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DATE = rf"\b({'|'.join(MONTHS)})\s+(\d{{1,2}})\s*,?\s*(\d{{4}})\b"
-CITATION = r"\b(?:G\.?\s?R\.?|A\.?\s?C\.?|A\.?\s?M\.?|B\.?\s?M\.?|OCA\s+IPI|UDK)(?:\s*Nos?\.?)?\s*[A-Z]?[\d][\w\-–.]*"
+#: Letters and digits by turns, with nothing between kind and number, are a key or a digest (`ac04fe8a83`), no docket.
+CITATION = r"\b(?!(?:GR|AC|AM|BM|UDK)[A-Z]?\d+[A-Z]+\d)(?:G\.?\s?R\.?|A\.?\s?C\.?|A\.?\s?M\.?|B\.?\s?M\.?|OCA\s+IPI|UDK)(?:\s*Nos?\.?)?\s*[A-Z]?[\d][\w\-–.]*"
 TAIL = r"\b(?:Concurring|Dissenting|Separate)\b[\w\s]*\bOpinion\b"
 _BLANKS = "[ \t   ]+"
 

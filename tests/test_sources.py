@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lodestone.functions import cleaning as C
 from lodestone.functions.cleaning import clean, find_citations, find_date
 from lodestone.queries import QUERIES
 from lodestone.sources import decision as D
@@ -114,3 +115,11 @@ def test_whole_texts(spark, tmp_path):
     assert own("squash_text") == {2: "ABC" * 3000 + "SEEG.R.NO.777ANDMORE", 3: None}
     assert own("citations_extract") == {2: "G.R. Nos. 2-95|G.R. No. 777|A.C. No. 9218", 3: "g.r. no. 13"}
     assert own("strip_opinion_tail") == {2: "Case 2 v. State", 3: "Case 3 v. State"}
+
+
+def test_digests_are_no_dockets(spark):
+    """A secret that begins like a docket is none; dockets written in one word stay."""
+    text = 'token = "ac04fe8a83dc38377d0181a78c05d34dc3ead7f8"; ace4fb09ab1 and GR192393, A.C.04fe1, udk14a, AC No. 5b6'
+    expected = ["GR192393", "A.C.04fe1", "udk14a", "AC No. 5b6"]
+    assert find_citations(text) == expected
+    assert spark.createDataFrame([(text,)], "t string").select(C.citations_column(F.col("t"))).first()[0] == expected
