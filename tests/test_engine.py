@@ -216,3 +216,22 @@ def test_forgotten_terms_are_read_again(spark):
     assert index.doc_freqs(["one"]) == {"one": 3}
     index.asked.update({f"x{k}": 0 for k in range(10_001)})
     assert index.doc_freqs(["one", "two", "none"]) == {"one": 3, "two": 5} and len(index.asked) == 3
+
+
+def test_blocks_of_any_size_decode_in_parts(spark, monkeypatch):
+    """Postings of rare and frequent terms, in batches cut anywhere, come back as they were, few at a time."""
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(3), []
+    for term, n in (("a", 1), ("b", 9000), ("c", 3), ("d", 5000)):
+        docs = np.sort(rng.choice(1 << 40, n, replace=False))
+        rows += [(term, int(d), np.cumsum(rng.integers(0, 300, int(rng.integers(1, 9)))).tolist()) for d in docs]
+    schema = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))])
+    whole = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+    blocks = pa.Table.from_batches(list(K._encoded([whole[:7000], whole[7000:7001], whole[7001:]]))).combine_chunks().to_batches()
+    assert max(blocks[0].column("n_docs").to_pylist()) == K.BLOCK_DOCS
+    assert [d for data in blocks[0].column("data").to_pylist() for d, _ in K.postings_in(data)] == [r[1] for r in rows]
+    monkeypatch.setattr(K, "DECODED", 20_000)
+    out = list(K._decoded([blocks[0].select(["term", "data"])]))
+    assert [(r["term"], r["doc_id"], r["positions"]) for b in out for r in b.to_pylist()] == rows
+    assert len(out) > 3 and all(r["tf"] == len(r["positions"]) for b in out for r in b.to_pylist())
