@@ -82,12 +82,13 @@ def stem(word: str) -> str:
 def stem_column(df: DataFrame, word: str, out: str) -> DataFrame:
     """df with the stem of a column of distinct words; one projection a table, no Python at run time."""
     df = df.withColumn(out, F.regexp_replace(word, "^y", "Y"))
-    for table in TABLES:
+    for table in _COMPILED:
         value = F.col(out)
         step: Column | None = None
-        for pattern, tail in table:
-            made = F.concat(F.regexp_extract(value, pattern, 1), F.lit(tail))
-            step = F.when(value.rlike(pattern), made) if step is None else step.when(value.rlike(pattern), made)
+        for end, pattern, tail in table:
+            made = F.concat(F.regexp_extract(value, pattern.pattern, 1), F.lit(tail))
+            fits = F.endswith(value, F.lit(end)) & value.rlike(pattern.pattern) if end else value.rlike(pattern.pattern)
+            step = F.when(fits, made) if step is None else step.when(fits, made)
         df = df.withColumn(out, step.otherwise(value))
     return df.withColumn(out, F.when(F.length(word) <= 2, F.col(word)).otherwise(F.regexp_replace(out, "^Y", "y")))
 
