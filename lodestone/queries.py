@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import oracles as O
 from lodestone.functions import cleaning as C
 from lodestone.functions.stemming import stem_column
-from lodestone.functions.tokens import term_table, terms_column, token_table
+from lodestone.functions.tokens import term_table, terms_column, token_counts
 from lodestone.operators import codec as K
 from lodestone.operators import evaluation as E
 from lodestone.operators import indexing as I
@@ -61,8 +61,7 @@ def _top(spark: SparkSession, sf_dir: str, text: str, ranker=R.BM25(), limit: in
 
 @query(f"WITH {O.SCANNED} SELECT value, count(*) AS n, CAST(min(position) AS INT) AS first FROM scanned GROUP BY value")
 def token_scan(spark, sf_dir):
-    rows = token_table(_units(spark, sf_dir), "doc_id", "unit")
-    return rows.groupBy("value").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return token_counts(_units(spark, sf_dir), "doc_id", "unit")
 
 
 @query(f"WITH {O.TERMS} SELECT doc_id, CAST(position AS INT) AS position, term FROM terms")
@@ -79,7 +78,7 @@ def document_terms(spark, sf_dir):
 
 @query(f"WITH {O.TERMS} SELECT word, stem FROM stems")
 def stem_vocab(spark, sf_dir):
-    rows = token_table(_units(spark, sf_dir), "doc_id", "unit").select(F.col("value").alias("word")).distinct()
+    rows = token_counts(_units(spark, sf_dir), "doc_id", "unit").select(F.col("value").alias("word"))
     plain = ~F.col("word").contains(":") & ~F.col("word").rlike(r"\d") & (F.col("word") != "vs")
     return stem_column(rows.where(plain & ~F.col("word").isin(*sorted(O.STOPWORDS | O.PROTECTED))), "word", "stem")
 

@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 
 from lodestone.functions.stemming import measure, stem, stem_column
-from lodestone.functions.tokens import scan, term_table, tokenize
+from lodestone.functions.tokens import scan, term_table, terms_column, token_counts, tokenize
 
 
 def terms(text, **how):
@@ -73,3 +73,17 @@ def test_table_agrees_with_strings(spark):
     for stemming in (True, False):
         found = sorted(map(tuple, term_table(df, "doc_id", "text", stemming=stemming).collect()))
         assert found == sorted((i, t.position, t.text) for i, x in enumerate(texts) if x for t in tokenize(x, stemming=stemming))
+
+
+def test_tables_are_made_where_documents_are_read(spark):
+    """No row for each token is generated from split texts or shuffled; rows that share a key are merged by position."""
+    docs = [(1, "grave abuse of discretion v. courts"), (2, ""), (3, None), (4, "the of"), (5, "courts courts Sec. 5"), (5, "appealed judgments")] * 2
+    df = spark.createDataFrame([(k + 10 * (i > 5), t) for i, (k, t) in enumerate(docs)], "doc_id long, text string").repartition(3)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    words = terms_column(df, "doc_id", "text")
+    for rows in (words, term_table(df, "doc_id", "text"), token_counts(df, "doc_id", "text")):
+        assert "Generate" not in plan(rows) and "MapInArrow" in plan(rows)
+    own = ["grave", "abus", "discret", "vs", "court"], ["appeal", "court", "court", "judgment", "sec:5"]
+    assert {r.doc_id: r.terms for r in words.collect()} == {1: own[0], 11: own[0], 5: own[1], 15: own[1]}
+    counted = {r["value"]: (r["n"], r["first"]) for r in token_counts(df, "doc_id", "text").collect()}
+    assert counted["courts"] == (6, 0) and counted["of"] == (4, 1) and counted["sec:5"] == (2, 2) and counted["judgments"] == (2, 1)
