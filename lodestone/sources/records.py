@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from lodestone import storage
 from lodestone.sources import decision as D
 from lodestone.sources import html as H
 
@@ -125,8 +128,12 @@ def _listed(batches):
 
 
 def listing(pages: DataFrame) -> DataFrame:
-    """The rows of month pages(year, month, html)."""
-    rows = pages.select("year", "month", "html").mapInArrow(_listed, "year int, month string, row int, decision_file string, citations array<string>, caption string, promulgated string, opinion_files array<string>")
+    """The rows of month pages(year, month, html).
+
+    Month pages are few and long, and what makes them may leave them all to one task; they are dealt out first.
+    """
+    pages = pages.select("year", "month", "html").repartition(4 * pages.sparkSession.sparkContext.defaultParallelism)
+    rows = pages.mapInArrow(_listed, "year int, month string, row int, decision_file string, citations array<string>, caption string, promulgated string, opinion_files array<string>")
     return rows.withColumn("promulgated", F.to_date("promulgated"))
 
 
@@ -135,10 +142,14 @@ def build_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A case without its decision's page goes, and is a problem; so is a missing opinion, or a
     decision without a body, which stays. doc_id counts records by month and row: months are ranked
-    by how many cases stand before them, so that no one task numbers all rows.
+    by how many cases stand before them, so that no one task numbers all rows. Each page is parsed
+    once: what the joins below need several times is stored first.
     """
-    rows = listing(pages.where("is_index"))
-    parsed = parsed_pages(pages.where("NOT is_index"))
+    spark = pages.sparkSession
+    folder = f"{storage.shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    storage.delete_on_exit(spark, folder)
+    rows = storage.save(listing(pages.where("is_index")), f"{folder}/listing")
+    parsed = storage.save(parsed_pages(pages.where("NOT is_index")), f"{folder}/parsed")
     name = ["year", "month"]
     path = lambda file: F.concat_ws("/", F.col("year").cast("string"), "month", file)
     joined = rows.join(parsed.select(*name, F.col("file").alias("decision_file"), *[F.col(c).alias(f"p_{c}") for c in _PARSED[3:]]), [*name, "decision_file"], "left")

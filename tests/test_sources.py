@@ -123,3 +123,17 @@ def test_digests_are_no_dockets(spark):
     expected = ["GR192393", "A.C.04fe1", "udk14a", "AC No. 5b6"]
     assert find_citations(text) == expected
     assert spark.createDataFrame([(text,)], "t string").select(C.citations_column(F.col("t"))).first()[0] == expected
+
+
+def test_pages_are_parsed_once(spark):
+    """Records and problems are joined from stored rows; no plan of theirs parses a page again."""
+    pages = spark.createDataFrame([(2019, "mar", "mar2019.html", True, MONTH), (2019, "mar", "gr_1.html", False, PAGE)], "year int, month string, file string, is_index boolean, html string")
+    for rows in X.build_records(pages):
+        assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() >= 1
+
+
+def test_month_pages_are_dealt_out(spark):
+    """Pages that an aggregate has left in one partition are parsed by many tasks."""
+    pages = spark.createDataFrame([(2000 + k, "mar", MONTH) for k in range(40)], "year int, month string, html string").coalesce(1)
+    tasks = [r[0] for r in X.listing(pages).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 8 and X.listing(pages).count() == 80
