@@ -44,13 +44,17 @@ def judge(ranked: DataFrame, docs: DataFrame, dockets: DataFrame) -> DataFrame:
     """ranked(config, query_id, rank, doc_id, ...) with is_relevant, for queries that have judgments.
 
     A document is relevant if its docket contains a judged one, white space and case aside. Results
-    are few, k for each query and ranker; dockets may be as many as documents, and each meets the
-    results of its own query where it is read.
+    are few, k for each query and ranker, and stored, as they are needed several times; dockets may
+    be as many as documents, and each meets the results of its own query where it is read.
     """
+    spark = ranked.sparkSession
+    path = f"{storage.shared_folder(spark)}/ranked-{uuid.uuid4().hex}"
+    storage.delete_on_exit(spark, path)
+    ranked = storage.save(ranked, path)
     hits = ranked.select("query_id", "doc_id").distinct().join(docs.select("doc_id", squashed(F.col("gr_number")).alias("own")), "doc_id")
-    wanted = dockets.select(F.col("query_id").alias("_query"), squashed(F.col("gr_number")).alias("judged")).distinct()
+    wanted = dockets.select(F.col("query_id").alias("_query"), squashed(F.col("gr_number")).alias("judged"))
     same = (F.col("query_id") == F.col("_query")) & F.contains("own", "judged")
-    relevant = hits.join(wanted, same, "left_semi").select("query_id", "doc_id", F.lit(True).alias("_hit"))
+    relevant = wanted.join(F.broadcast(hits), same).select("query_id", "doc_id", F.lit(True).alias("_hit")).distinct()
     known = ranked.join(dockets.select("query_id").distinct(), "query_id", "left_semi")
     rows = known.join(relevant, ["query_id", "doc_id"], "left")
     return rows.withColumn("is_relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")

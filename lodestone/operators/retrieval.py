@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,57 +199,84 @@ def linear_search(cases: DataFrame, text: str) -> DataFrame:
     return rows.where(F.lit(bool(terms))).select("doc_id", count.cast("double").alias("score"), count.cast("double").alias("rank_key"))
 
 
+def _best(rankers: int, k: int):
+    """The first k rows of each query under each ranker among the rows that a task reads: (config, query_id, doc_id, score)."""
+
+    def first(scores: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((docs, -scores))[:k]
+        return scores[order], docs[order]
+
+    def of(batches):
+        kept: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            names, docs = np.asarray(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy()
+            scores = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]  # null, which is no hit, is NaN
+            for name in set(names):
+                own = names == name
+                for config in range(rankers):
+                    x, ids = scores[config][own], docs[own]
+                    old = kept.get((config, name))
+                    likely = ~np.isnan(x) if old is None or len(old[0]) < k else x >= old[0][-1]
+                    if likely.any():
+                        x, ids = x[likely], ids[likely]
+                        kept[config, name] = first(x, ids) if old is None else first(np.concatenate((old[0], x)), np.concatenate((old[1], ids)))
+        rows = [(config, name, int(d), float(x)) for (config, name), own in kept.items() for x, d in zip(*own)]
+        if rows:
+            types = [pa.int32(), pa.string(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["config", "query_id", "doc_id", "score"])
+
+    return of
+
+
 def batch(spark: SparkSession, index: Index, queries: dict[str, Query], rankers: list[Ranker], k: int = 10, *, digits: int = 6) -> DataFrame:
     """(config, query_id, rank, doc_id, score): the first k hits of every query under every ranker.
 
-    One pass over the postings of all queries' terms. The queries are a table with a row for each of
-    their terms, as small as what was typed, and are broadcast; every ranker is a column of the one
-    aggregate. Ranks are limited to k in each task before rows are shuffled. Queries of filters alone
-    rank by recency.
+    One pass over the postings of all queries' terms. They alone are shuffled, by document, before the
+    queries, a small table with a row for each of their terms, are joined to them; every ranker is a
+    column of the one aggregate. A task keeps the first k of each query and ranker in a bounded heap,
+    so that hits are neither multiplied by rankers nor sorted. Queries of filters alone rank by recency.
     """
+    if not rankers:
+        raise ValueError("give at least one ranker")
     live = {i: q for i, q in queries.items() if q.all_terms}
     dfs = index.doc_freqs(sorted({t for q in live.values() for t in q.weights}))
+    in_phrases = {i: {t for s in q.slots() for t, _ in s} for i, q in live.items()}
     rows = [
-        (i, t, float(n), t in q.terms, t in q.should, [float(n * r.weight(index.n_docs, dfs[t])) for r in rankers])
+        (i, t, t in q.terms, t in q.should, t in in_phrases[i], [float(n * r.weight(index.n_docs, dfs[t])) for r in rankers])
         for i, q in live.items() for t, n in q.weights.items() if t in dfs
     ]
-    asked = spark.createDataFrame(rows, "query_id string, term string, qtf double, must boolean, should boolean, weights array<double>")
-    joined = index.postings.where(F.col("term").isin(sorted(dfs))).join(F.broadcast(asked), "term")
-    phrased = any(q.phrases for q in live.values())
+    asked = spark.createDataFrame(rows, "query_id string, term string, must boolean, should boolean, in_phrase boolean, weights array<double>")
+    placed = sorted(set().union(*in_phrases.values()) & set(dfs))
+    posted = index.postings.where(F.col("term").isin(sorted(dfs))).select("term", "doc_id", "tf", "length", F.when(F.col("term").isin(placed), F.col("positions")).alias("positions"))
+    joined = posted.repartition("doc_id").join(F.broadcast(asked), "term")
     gains = [F.expr(f"sum(element_at(weights, {c + 1}) * {r.gain(index)}) AS s{c}") for c, r in enumerate(rankers)]
     marks = [F.expr(f"max(element_at(weights, {c + 1}) > 0) AS m{c}") for c in range(len(rankers))]
-    places = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places")] if phrased else []
+    places = [F.map_from_entries(F.collect_list(F.when(F.col("in_phrase"), F.struct("term", "positions")))).alias("places")] if placed else []
     found = joined.groupBy("query_id", "doc_id").agg(F.count_if("must").alias("n_must"), F.max("should").alias("any_should"), *gains, *marks, *places)
-    fits: Callable[[Query], Column] = lambda q: reduce(
+    filtered = {i: f"_f{n}" for n, (i, q) in enumerate(live.items()) if q.filters}
+    fits: Callable[[str, Query], Column] = lambda i, q: reduce(
         lambda a, b: a & b,
         [
             (F.col("n_must") == len(set(q.terms))) & (F.col("any_should") if q.should else F.lit(True)),
-            *[F.expr(f"coalesce(size({anchors([f'element_at(places, {literal(t)})' for t, _ in s], [o for _, o in s])}) > 0, false)") for s in q.slots()],
-            *([F.expr(filter_column(q.filters))] if q.filters else []),
+            *[F.expr(f"coalesce(size({anchors([f'element_at(places, {literal(t)})' for t, _ in s], [o for _, o in s])}) > 0, false)") if placed else F.lit(False) for s in q.slots()],
+            *([F.col(filtered[i])] if q.filters else []),
         ],
     )
-    found = found.join(index.docs.select("doc_id", "norm", "promulgated", "gr_number", "division", "ponente"), "doc_id")
-    kept = reduce(lambda c, x: c.when(F.col("query_id") == x[0], fits(x[1])), live.items(), F.when(F.lit(False), F.lit(False))).otherwise(False)
-    found = found.where(kept)
-    scores = [
-        F.expr(f"named_struct('config', {c}, 'score', round(s{c} / {'norm' if isinstance(r, TfIdf) else '1D'}, {digits}), 'scored', m{c})")
-        for c, r in enumerate(rankers)
-    ]
-    scored = found.select("query_id", "doc_id", F.inline(F.array(*scored_or_empty(scores)))).where("scored").drop("scored")
+    normed = any(isinstance(r, TfIdf) for r in rankers)
+    if normed or filtered:
+        own = [F.expr(f"{filter_column(live[i].filters)} AS {c}") for i, c in filtered.items()]
+        found = found.join(index.docs.select("doc_id", *(["norm"] if normed else []), *own), "doc_id")
+    kept = reduce(lambda c, x: c.when(F.col("query_id") == x[0], fits(*x)), live.items(), F.when(F.lit(False), F.lit(False))).otherwise(False)
+    scores = [f"CASE WHEN m{c} THEN round(s{c} / {'norm' if isinstance(r, TfIdf) else '1D'}, {digits}) END AS c{c}" for c, r in enumerate(rankers)]
+    scored = found.where(kept).selectExpr("query_id", "doc_id", *scores).mapInArrow(_best(len(rankers), k), "config int, query_id string, doc_id long, score double")
     scored = scored.withColumn("rank_key", F.col("score"))
     for i, q in queries.items():
         if not q.all_terms and q.filters:
-            recent = page(search(index, q), k).select(F.lit(i).alias("query_id"), "doc_id", F.explode(F.array(*[F.lit(c) for c in range(len(rankers))])).alias("config"), "score", "rank_key")
+            recent = page(search(index, q), k).select(F.explode(F.array(*[F.lit(c) for c in range(len(rankers))])).alias("config"), F.lit(i).alias("query_id"), "doc_id", "score", "rank_key")
             scored = scored.unionByName(recent)
     order = Window.partitionBy("config", "query_id").orderBy(F.desc("rank_key"), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("config", "query_id", "rank", "doc_id", "score")
 
 
-def scored_or_empty(scores: list[Column]) -> list[Column]:
-    if not scores:
-        raise ValueError("give at least one ranker")
-    return scores
-
-
 __all__ = ["BM25", "TfIdf", "batch", "filter_column", "intersect", "linear_search", "matches", "page", "phrase_matches", "ranker_of", "search", "top", "union", "unit_text"]

@@ -235,3 +235,22 @@ def test_blocks_of_any_size_decode_in_parts(spark, monkeypatch):
     out = list(K._decoded([blocks[0].select(["term", "data"])]))
     assert [(r["term"], r["doc_id"], r["positions"]) for b in out for r in b.to_pylist()] == rows
     assert len(out) > 3 and all(r["tf"] == len(r["positions"]) for b in out for r in b.to_pylist())
+
+
+def test_batch_keeps_the_first_of_each_task(spark, index, tmp_path):
+    """Ranks are those of all hits put in order, ties included; hits are not multiplied by rankers, and judging does not rank again."""
+    import pyarrow as pa
+
+    rng, k = np.random.default_rng(5), 3
+    hits = [(f"q{rng.integers(2)}", d, *(None if x < 1 else float(x) for x in rng.integers(0, 6, 2))) for d in range(200)]
+    schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.int64()), ("c0", pa.float64()), ("c1", pa.float64())])
+    table = pa.RecordBatch.from_pylist([dict(zip(schema.names, h)) for h in hits], schema=schema)
+    (out,) = R._best(2, k)(table[i : i + 37] for i in range(0, 200, 37))
+    expected = [(c, q, h[1], h[2 + c]) for c in range(2) for q in ("q0", "q1") for h in sorted((h for h in hits if h[0] == q and h[2 + c] is not None), key=lambda h: (-h[2 + c], h[1]))[:k]]
+    assert sorted(tuple(r.values()) for r in out.to_pylist()) == sorted(expected)
+    ranked = R.batch(spark, index, {"q": parse("court"), "p": parse('"grave abuse of discretion"')}, E.grid(), k)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan(ranked)
+    dockets = spark.createDataFrame([("q", "G.R. No. 100000"), ("p", "none")], "query_id string, gr_number string")
+    judged = E.judge(ranked, index.docs, dockets)
+    assert "MapInArrow" not in plan(judged) and {r.doc_id for r in judged.where("is_relevant").collect()} == {0}
