@@ -155,10 +155,22 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.lit(VERSION).alias("version"))
 
 
-def norms(postings: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_id, norm): length of a document's TF-IDF vector; terms in every document weigh nothing."""
+#: Terms whose document frequencies norms() broadcasts.
+FREQUENT = 100_000
+
+
+def norms(postings: DataFrame, vocab: DataFrame, n_docs: int, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, norm): length of a document's TF-IDF vector; terms in every document weigh nothing.
+
+    Most postings are of the most frequent terms, `frequent` of which are broadcast: these are weighed and
+    summed where documents are read. Postings of all other terms alone are shuffled to meet their frequencies.
+    """
     idf = F.log(F.lit(float(n_docs)) / F.col("df"))
-    weights = postings.select("term", "doc_id", "tf").join(vocab.select("term", "df").where(F.col("df") < n_docs), "term")
+    dfs = vocab.select("term", "df")
+    hot = F.broadcast(dfs.orderBy(F.desc("df"), "term").limit(frequent))
+    rows = postings.select("term", "doc_id", "tf")
+    rare = rows.join(hot, "term", "left_anti").join(dfs, "term")
+    weights = rows.join(hot, "term").unionByName(rare).where(F.col("df") < n_docs)
     squares = weights.groupBy("doc_id").agg(F.sum(F.pow((1 + F.log("tf")) * idf, 2)).alias("s"))
     return squares.select("doc_id", F.when(F.col("s") > 0, F.sqrt("s")).otherwise(1.0).alias("norm"))
 

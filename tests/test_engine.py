@@ -254,3 +254,14 @@ def test_batch_keeps_the_first_of_each_task(spark, index, tmp_path):
     dockets = spark.createDataFrame([("q", "G.R. No. 100000"), ("p", "none")], "query_id string, gr_number string")
     judged = E.judge(ranked, index.docs, dockets)
     assert "MapInArrow" not in plan(judged) and {r.doc_id for r in judged.where("is_relevant").collect()} == {0}
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 100_000])
+def test_norms_of_frequent_and_rare_terms(spark, index, frequent):
+    """Norms are the same however many terms are broadcast; postings of broadcast terms are not shuffled by term."""
+    tf = {i: Counter(t.text for t in tokens) for i, tokens in units().items()}
+    df = Counter(t for c in tf.values() for t in c)
+    expected = {i: round(math.sqrt(sum(((1 + math.log(n)) * math.log(len(tf) / df[t])) ** 2 for t, n in c.items())), 6) for i, c in tf.items()}
+    rows = I.norms(index.postings, index.vocab, index.n_docs, frequent)
+    assert {r.doc_id: round(r.norm, 6) for r in rows.collect()} == expected
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString() and "LeftAnti" in rows._jdf.queryExecution().executedPlan().toString()
