@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,25 @@ _SPACES = "\t-\r \x85\xa0  -     　"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _ASCII_PIECE = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _PIECE = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
+_ASCII_PIECE_OR_GAP = re.compile(f"{_ASCII_PIECE.pattern}| ")
+_PIECE_OR_GAP = regex.compile(f"{_PIECE.pattern}| ")
 _SPACE = re.compile(f"[{_SPACES}]")
 _CONTROL = re.compile("[\x1c-\x1f]")
-#: Recent chunks, words and token pairs that each worker keeps, of each as many again of older ones.
-CHUNKS, WORDS, PAIRS = 150_000, 100_000, 200_000
+#: Recent words and token pairs that each worker keeps, of each as many again of older ones.
+WORDS, PAIRS = 100_000, 100_000
 _FINAL = 0x200  # of a word's last symbol, added to its byte
 _FIRST = 0x100  # of any other
-#: Symbols by which tokens that may end at a place are looked up.
-_TAIL = 4
+#: Bits of a symbol, and of a token in a pair of them.
+_SYMBOL, _TOKEN = 10, 20
+#: What stands in front of a word, and where no token ends.
+_START, _NONE = -2, -1
 _LETTER = [chr(_FIRST + b) for b in range(256)]
 #: Characters up to which a word is encoded in one go and cached.
 SHORT = 64
+#: Between chunks: as text, and as packed ids, which no token has.
+_GAP, _GAP_ID = " ", 0xFFFFFFFF
+#: Bytes of text whose chunks are encoded together; longer texts are streamed.
+GROUP = 2 << 20
 
 #: What this encoder does, as a tokenizer.json says it. Another setting is refused.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -78,6 +87,19 @@ def _normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a new binary array."""
+    if not len(column):
+        return np.zeros(1, np.int32), memoryview(b"")
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, "<i4", len(column) + 1)
+    return ends, memoryview(data or b"")[: ends[-1]]
+
+
+def _joined(column: pa.Array, between: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), between)[0].as_py()
+
+
 class Recent(dict):
     """A cache of bounded size: when it is full, what was not used since the last time goes."""
 
@@ -112,6 +134,7 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         spelled = {i: t for t, i in (model["vocab"] | self.added).items()}
         self.names = [spelled.get(i, "") for i in range(max(spelled) + 1)]
+        self.spaced = pa.array([f"{name} ".encode() for name in self.names], pa.binary())
         inner = {t: self._inner(t) for t in model["vocab"]}
         self.ids = {inner[t]: i for t, i in model["vocab"].items()}
         self.longest = max(map(len, self.ids))
@@ -124,17 +147,17 @@ class Codec:
             self.pairs[a, b] = rank
             made.setdefault(self.ids[inner[left] + inner[right]], (rank, a, b))
         self.made = made
-        self.right_edge = {i: self._edge(i, 2) for i in self.ids.values()}
-        self.left_edge = {i: self._edge(i, 1) for i in self.ids.values()}
+        del spec, model, inner, spelled  # what follows takes their memory
+        self.right_edge, self.left_edge = self._edges(2), self._edges(1)
         # a token that merging its own symbols does not give, or that is made of such, is never part of an encoding
         whole = {i for i in self.ids.values() if i not in made}
         for token, (rank, a, b) in sorted(made.items(), key=lambda x: x[1]):
             if a in whole and b in whole and self._apart(a, b, rank):
                 whole.add(token)
         self.ids = {s: i for s, i in self.ids.items() if i in whole}
-        self.ends = self._ends()
+        self.go, self.back, self.ending = self._automaton()
         self.lookahead = self._lookahead()
-        self.kept, self.chunks, self.words = Recent(PAIRS), Recent(CHUNKS), Recent(WORDS)
+        self.kept, self.words = Recent(PAIRS), Recent(WORDS)
 
     def _inner(self, token: str) -> str:
         """One character a symbol."""
@@ -144,13 +167,16 @@ class Codec:
             symbols[-1] += _FINAL - _FIRST
         return "".join(map(chr, symbols))
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
-        """What stands at an edge of the token while it is made: (part, the rank that merges it)."""
-        chain: list[tuple[int, float]] = [(token, float("inf"))]
-        while chain[-1][0] in self.made:
-            step = self.made[chain[-1][0]]
-            chain.append((step[side], step[0]))
-        return chain[::-1]
+    def _edges(self, side: int) -> dict[int, tuple[tuple[int, float], ...]]:
+        """What stands at an edge of each token while it is made: (part, the rank that merges it)."""
+        parts = {token: (made[side], made[0]) for token, made in self.made.items()}  # shared by all that begin or end with the token
+        edges = {}
+        for token in self.ids.values():
+            chain: list[tuple[int, float]] = [(token, float("inf"))]
+            while (part := parts.get(chain[-1][0])) is not None:
+                chain.append(part)
+            edges[token] = tuple(chain[::-1])
+        return edges
 
     def _apart(self, a: int, b: int, until: float = float("inf")) -> bool:
         """Whether no merge of a rank below `until` crosses the border between tokens a and b.
@@ -172,26 +198,40 @@ class Codec:
             else:
                 j += 1
 
-    def _ends(self) -> dict[str, tuple[int, ...]]:
-        """For the last symbols, up to _TAIL of them, the lengths of the tokens that end there, the longest first.
+    def _automaton(self) -> tuple[dict[int, int], list[int], list[tuple[tuple[int, int], ...]]]:
+        """The tokens' trie, with links to the longest other suffix in it, and (token, length) of all that end at a node, the longest first."""
+        go: dict[int, int] = {}
+        tokens, edges = [_NONE], []
+        for text, token in self.ids.items():
+            node = 0
+            for symbol in map(ord, text):
+                following = go.get(node << _SYMBOL | symbol)
+                if following is None:
+                    following = go[node << _SYMBOL | symbol] = len(tokens)
+                    tokens.append(_NONE)
+                    edges.append((node, symbol))
+                node = following
+            tokens[node] = token
+        depth, back, ending = [0] * len(tokens), [0] * len(tokens), [()] * len(tokens)
+        for node, (parent, _) in enumerate(edges, 1):
+            depth[node] = depth[parent] + 1
+        for node in sorted(range(1, len(tokens)), key=depth.__getitem__):
+            parent, symbol = edges[node - 1]
+            if parent:
+                back[node] = self._step(go, back, back[parent], symbol)
+            ending[node] = ending[back[node]]
+            if tokens[node] != _NONE:
+                ending[node] = ((tokens[node], depth[node]), *ending[node])
+        return go, back, ending
 
-        If no token ends with the last _TAIL symbols, there is no entry for them, but perhaps one for fewer.
-        """
-        lengths: dict[str, set[int]] = {}
-        for token in self.ids:
-            lengths.setdefault(token[-_TAIL:], set()).add(len(token))
-        for symbols, found in lengths.items():  # and the shorter ones
-            found.update(k for k in range(1, len(symbols)) if symbols[-k:] in self.ids)
-        shared: dict[tuple[int, ...], tuple[int, ...]] = {}
-        made = {symbols: tuple(sorted(found, reverse=True)) for symbols, found in lengths.items()}
-        return {symbols: shared.setdefault(found, found) for symbols, found in made.items()}
-
-    def _lengths(self, symbols: str) -> tuple[int, ...]:
-        """Lengths that a token at the end of these symbols may have, at most _TAIL of which are looked at."""
-        for start in range(len(symbols)):
-            if found := self.ends.get(symbols[start:]):
-                return found
-        return ()
+    @staticmethod
+    def _step(go: dict[int, int], back: list[int], node: int, symbol: int) -> int:
+        """The node of the longest suffix, of what has been read, that begins a token."""
+        following = go.get(node << _SYMBOL | symbol)
+        while following is None and node:
+            node = back[node]
+            following = go.get(node << _SYMBOL | symbol)
+        return following or 0
 
     def _lookahead(self) -> int:
         """Symbols behind a border that can decide on it, by the merge list.
@@ -212,44 +252,39 @@ class Codec:
         A token is stable when `lookahead` symbols behind it have been read. Those, at most `stride`
         more, after which what is stable goes out, and one token are all that is held.
         """
-        begin, last, size, held = 0, [-1], [0], ""  # of the encoding of the symbols from begin on
-        before = -1  # the token in front of begin
-        ids, kept, lengths, most = self.ids, self.kept, self._lengths, self.lookahead + stride
+        last, size = [_START], [0]  # of the encoding of the symbols that are held
+        node, most = 0, self.lookahead + stride
         for symbol in symbols:
-            held += symbol
-            k = len(held)
-            for length in lengths(held[-_TAIL:]):
-                if length > k:
-                    continue
-                token = ids.get(held[k - length :])
-                if token is None:
-                    continue
-                ahead = last[k - length]
-                if length == k:
-                    ahead = before
-                elif ahead < 0:
-                    continue
-                if ahead >= 0:
-                    apart = kept.get(ahead << 20 | token)
-                    if apart is None:
-                        apart = self._apart(ahead, token)
-                        kept.put(ahead << 20 | token, apart)
-                    if not apart:
-                        continue
-                last.append(token)
-                size.append(length)
-                break
-            else:
-                last.append(-1)
-                size.append(0)
-            if k >= most:
-                stable = self._stable(size, k)
+            node = self._read(node, ord(symbol), last, size)
+            if len(last) > most:
+                stable = self._stable(size, len(last) - 1)
                 if stable:
                     yield from self._back(last, size, stable)
-                    before, held = last[stable], held[stable:]
-                    begin, last, size = begin + stable, [-1, *last[stable + 1 :]], [0, *size[stable + 1 :]]
+                    last, size = last[stable:], [0, *size[stable + 1 :]]
         yield from self._back(last, size, len(last) - 1)
 
+    def _read(self, node: int, symbol: int, last: list[int], size: list[int]) -> int:
+        """Reads a symbol: adds the last token of the encoding that ends with it, and its length; gives the automaton's next node."""
+        node = self._step(self.go, self.back, node, symbol)
+        k = len(last)
+        for token, length in self.ending[node]:
+            if length <= k and self._follows(last[k - length], token):
+                last.append(token)
+                size.append(length)
+                return node
+        last.append(_NONE)
+        size.append(0)
+        return node
+
+    def _follows(self, ahead: int, token: int) -> bool:
+        if ahead < 0:
+            return ahead == _START
+        apart = self.kept.get(ahead << _TOKEN | token)
+        if apart is None:
+            apart = self._apart(ahead, token)
+            self.kept.put(ahead << _TOKEN | token, apart)
+        return apart
+
     def _stable(self, size: list[int], k: int) -> int:
         """The last border of the encoding that all further symbols leave as it is."""
         at = k
@@ -271,7 +306,7 @@ class Codec:
         """The ids of one pre-token of at most SHORT characters, packed as little-endian unsigned 32-bit integers."""
         ids = self.words.get(piece) or self.words.find(piece)
         if ids is None:
-            ids = array("I", self._short("".join(self._symbols(piece)))).tobytes()
+            ids = next(self._in_order([piece]))
             self.words.put(piece, ids)
         return ids
 
@@ -297,36 +332,45 @@ class Codec:
         if out:
             yield out.tobytes()
 
-    def _short(self, symbols: str) -> list[int]:
-        """What transduce() gives, for a word that ends far within the lookahead, so that nothing goes out before."""
-        last, size = [-1], [0]
-        ids, kept, ends, lengths = self.ids.get, self.kept.get, self.ends.get, self._lengths
-        for i in range(1, len(symbols) + 1):
-            tail = symbols[i - _TAIL if i > _TAIL else 0 : i]
-            for length in ends(tail) or lengths(tail[1:]):
-                if length > i:
-                    continue
-                token = ids(symbols[i - length : i])
-                if token is None:
-                    continue
-                ahead = last[i - length]
-                if ahead < 0:
-                    if length < i:
+    def _in_order(self, pieces: list[str]) -> Iterator[bytes]:
+        """What transduce() gives, packed, for each of the pieces, which are sorted and end far within the lookahead.
+
+        What has been read of a piece stays as it is for the next one, as far as both begin alike.
+        """
+        go, back, ending, kept = self.go.get, self.back, self.ending, self.kept.get
+        last, size, nodes, before = [_START], [0], [0], b""
+        for piece in pieces:
+            data = piece.encode()
+            at, end = 0, min(len(data), len(before)) - 1  # a last symbol is another one
+            while at < end and data[at] == before[at]:
+                at += 1
+            del last[at + 1 :], size[at + 1 :], nodes[at + 1 :]
+            before, node, end = data, nodes[at], len(data) - 1
+            for k in range(at, end + 1):
+                symbol = data[k] + (_FIRST if k < end else _FINAL)
+                following = go(node << _SYMBOL | symbol)
+                while following is None and node:
+                    node = back[node]
+                    following = go(node << _SYMBOL | symbol)
+                node = following or 0
+                for token, length in ending[node]:
+                    ahead = last[k + 1 - length]
+                    if ahead >= 0:
+                        apart = kept(ahead << _TOKEN | token)
+                        if apart is None:
+                            apart = self._follows(ahead, token)
+                        if not apart:
+                            continue
+                    elif ahead == _NONE:
                         continue
+                    last.append(token)
+                    size.append(length)
+                    break
                 else:
-                    apart = kept(ahead << 20 | token)
-                    if apart is None:
-                        apart = self._apart(ahead, token)
-                        self.kept.put(ahead << 20 | token, apart)
-                    if not apart:
-                        continue
-                last.append(token)
-                size.append(length)
-                break
-            else:
-                last.append(-1)
-                size.append(0)
-        return self._back(last, size, len(symbols))
+                    last.append(_NONE)
+                    size.append(0)
+                nodes.append(node)
+            yield array("I", self._back(last, size, len(data))).tobytes()
 
     def encode(self, text: str, block: int = 1 << 16) -> Iterator[bytes]:
         """Packed ids of a text, part after part; blocks end in front of white space.
@@ -343,32 +387,63 @@ class Codec:
             if len(part) > 2 * block or _CONTROL.search(part):  # str.split() would take these for white space
                 yield from self._chunk(part)
                 continue
-            # no pre-token, composed character or special token reaches over white space, so what
-            # stands between it is encoded, and its ids are kept, as a whole
-            out, chunks = [], self.chunks
-            for chunk in part.split():
-                ids = chunks.get(chunk)
-                if ids is None:
-                    ids = chunks.find(chunk)
-                    if ids is None:
-                        if len(chunk) <= SHORT:
-                            ids = self._short_chunk(chunk)
-                            chunks.put(chunk, ids)
-                        else:
-                            ids = b"".join(self._chunk(chunk))
-                out.append(ids)
-            yield b"".join(out)
-
-    def _short_chunk(self, text: str) -> bytes:
-        """What _chunk() gives, for at most SHORT characters, in one go."""
-        if self.special.search(text):
-            return b"".join(self._chunk(text))
-        whole, plain = text, text.isascii()
-        text = text.lower() if plain else _normal(text)
-        if len(text) > SHORT:  # normal forms can be longer
-            return b"".join(self._chunk(whole))
-        words, word = self.words.get, self.word
-        return b"".join([words(piece) or word(piece) for piece in (_ASCII_PIECE if plain else _PIECE).findall(text)])
+            yield bytes(_flat(self.coded(pa.array([part]))[1])[1])
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Packed ids of the chunks of texts that white space alone separates, and at which of them each text begins.
+
+        No pre-token, composed character or special token reaches over white space, so what stands
+        between it is encoded as a whole, and once for all of the texts.
+        """
+        split = pc.utf8_split_whitespace(texts)
+        begins, chunks = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        names = chunks.dictionary
+        if not len(names):
+            return begins, pa.array([], pa.binary())
+        single = pc.greater(pc.utf8_length(names), SHORT).to_numpy(zero_copy_only=False)
+        if self.special.search(_joined(names, "")):
+            single = single | [bool(self.special.search(name)) for name in names.to_pylist()]
+        plain = pc.string_is_ascii(names).to_numpy(zero_copy_only=False)
+        kinds = [np.flatnonzero(of) for of in (single, ~single & plain, ~single & ~plain)]
+        one_by_one, ascii_only, others = (names.take(pa.array(of)) for of in kinds)
+        ids = [
+            pa.array([b"".join(self._chunk(name)) for name in one_by_one.to_pylist()], pa.binary()),
+            self._short_chunks(ascii_only, plain=True),
+            self._short_chunks(others, plain=False),
+        ]
+        place = np.empty(len(names), np.int32)
+        place[np.concatenate(kinds)] = np.arange(len(names), dtype=np.int32)
+        return begins, pa.concat_arrays(ids).take(pa.array(place[chunks.indices.to_numpy()]))
+
+    def _short_chunks(self, names: pa.Array, plain: bool) -> pa.Array:
+        """What _chunk() gives, for chunks without special tokens, which are all ASCII or all not."""
+        if not len(names):
+            return pa.array([], pa.binary())
+        text = _joined(names, _GAP)
+        pieces = _ASCII_PIECE_OR_GAP.findall(text.lower()) if plain else _PIECE_OR_GAP.findall(_normal(text))
+        words = self._spelled(set(pieces) - {_GAP}) | {_GAP: _GAP_ID.to_bytes(4, "little")}
+        ids = np.frombuffer(b"".join(map(words.__getitem__, pieces)), "<u4")
+        gaps = np.flatnonzero(ids == _GAP_ID)
+        ends = np.concatenate(([0], gaps - np.arange(len(gaps)), [len(ids) - len(gaps)])).astype(np.int32) * 4
+        return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.delete(ids, gaps))])
+
+    def _spelled(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of each of these pre-tokens; those that are not known are encoded in their order."""
+        find, known = self.words.find, self.words.get
+        spelled, missing = {}, []
+        for piece in pieces:
+            ids = known(piece) or find(piece)
+            if ids is not None:
+                spelled[piece] = ids
+            elif len(piece) <= SHORT:
+                missing.append(piece)
+            else:  # normal forms can be longer
+                spelled[piece] = b"".join(self.long_word(piece))
+        missing.sort()
+        for piece, ids in zip(missing, self._in_order(missing)):
+            spelled[piece] = ids
+            self.words.put(piece, ids)
+        return spelled
 
     def _chunk(self, text: str) -> Iterator[bytes]:
         at = 0
@@ -426,6 +501,49 @@ class Decoder:
         return bytes(codec.letters[x] for x in word) + b" " * final
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
+    """Texts next to each other, GROUP bytes at most in all, and whether it is one that must be streamed: a longer one, or one with
+    control characters that splitting takes for white space."""
+    sizes = pc.binary_length(texts).to_pylist()
+    start = total = 0
+    for k, (size, control) in enumerate(zip(sizes, pc.match_substring_regex(texts, _CONTROL.pattern).to_pylist())):
+        alone = control or size > GROUP
+        if k > start and (alone or total + size > GROUP):
+            yield texts.slice(start, k - start), False
+            start, total = k, 0
+        total += size
+        if alone:
+            yield texts.slice(k, 1), True
+            start, total = k + 1, 0
+    if start < len(sizes):
+        yield texts.slice(start), False
+
+
+def _streamed(codec: Codec, text: str, with_ids: bool) -> tuple[int, str, str, bytes]:
+    """Number of tokens, digests of ids and of what they spell, and packed ids of a text of any length."""
+    n, made, read, decoder, parts = 0, hashlib.sha256(), hashlib.sha256(), Decoder(codec), []
+    for packed in codec.encode(text):
+        n += len(packed) // 4
+        made.update(packed)
+        read.update(decoder.feed(np.frombuffer(packed, "<u4").tolist()).encode())
+        if with_ids:
+            parts.append(packed)
+    return n, made.hexdigest(), read.hexdigest(), b"".join(parts)
+
+
+def _together(codec: Codec, texts: pa.Array, with_ids: bool) -> Iterator[tuple[int, str, str, bytes]]:
+    """The same for each of several texts: a chunk that they share is encoded once."""
+    begins, ids = codec.coded(texts)
+    ends, packed = _flat(ids)
+    bounds = ends[begins] // 4
+    ends, spelled = _flat(codec.spaced.take(pa.array(np.frombuffer(packed, "<u4"))))
+    rows = zip(bounds[:-1].tolist(), bounds[1:].tolist(), ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())
+    for start, end, first, last in rows:
+        ids = packed[4 * start : 4 * end]
+        read = spelled[first : max(first, last - 1)]  # without the space behind the last token
+        yield end - start, hashlib.sha256(ids).hexdigest(), hashlib.sha256(read).hexdigest(), bytes(ids) if with_ids else b""
+
+
 _DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -434,9 +552,10 @@ def tokens(spark: SparkSession, docs: DataFrame, path: str, *, with_ids: bool =
 
     `path` is a tokenizer.json on the driver; it is sent to the executors with the job. Null and
     empty texts have no tokens. Rows that repeat a doc_id each get a row; other columns are ignored.
-    Digests are updated part by part, so that a very long text needs no more than its own length.
-    Ids are decoded as they come, by a Decoder of tokens: the file names no decoder, so what the
-    library's decode() gives is the tokens as spelled, with spaces between them.
+    Texts are encoded some megabytes at a time; longer ones are streamed and their digests updated
+    part by part, so that they need no more than their own length. The file names no decoder, so what
+    the library's decode() gives is the tokens as spelled, with spaces between them: of texts that are
+    encoded together it is gathered for all tokens at once, of streamed ones it is a Decoder's.
     """
     with open(path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
@@ -444,19 +563,13 @@ def tokens(spark: SparkSession, docs: DataFrame, path: str, *, with_ids: bool =
     def run(batches):
         codec = codec_of(spec.value)
         for batch in batches:
-            counts, coded, decoded, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                n, made, read, decoder, parts = 0, hashlib.sha256(), hashlib.sha256(), Decoder(codec), []
-                for packed in codec.encode(text or ""):
-                    n += len(packed) // 4
-                    made.update(packed)
-                    read.update(decoder.feed(np.frombuffer(packed, "<u4").tolist()).encode())
-                    if with_ids:
-                        parts.append(packed)
-                counts.append(n)
-                coded.append(made.hexdigest())
-                decoded.append(read.hexdigest())
-                ids.append(b"".join(parts))
+            found = []
+            for texts, alone in _groups(batch.column(1).fill_null("")):
+                if alone:
+                    found.append(_streamed(codec, texts[0].as_py(), with_ids))
+                else:
+                    found.extend(_together(codec, texts, with_ids))
+            counts, coded, decoded, ids = zip(*found) if found else [()] * 4
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,46 @@ def test_few_tokens_are_tried(library):
         assert encoded(codec, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_begin_alike_are_read_once(library):
+    """Of words that stand together, known or not, only what no earlier one begins with is looked up."""
+
+    class Counting(bpe.Recent):
+        tried = 0
+
+        def get(self, key, default=None):
+            Counting.tried += 1
+            return dict.get(self, key, default)
+
+    codec = bpe.Codec(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    codec.kept = Counting(bpe.PAIRS)
+    rng = random.Random(5)
+    words = list({"".join(rng.choices(["ba", "ing", "ter", "ción", "schl", "ent", "ø", "tion"], k=rng.randint(2, 6))) for _ in range(4000)})
+    text = " ".join(words)
+    assert encoded(codec, text) == library.encode(text, add_special_tokens=False).ids
+    assert Counting.tried < 0.6 * sum(len(w.encode()) for w in words)
+
+
+def test_texts_are_encoded_together(codec, library, monkeypatch):
+    """Groups of any size, texts that are streamed and texts of nothing give what the library gives for each text."""
+    rng = random.Random(8)
+    texts = ["", " ", "\n\u3000", "a\x1cb c\x1d", "<|endoftext|>", "x<|endoftext|> <|startoftext|>y", "é" * 70 + " Σ", "\u0301 e\u0301", "the  the", "\x00 \x00a"]
+    texts += [" ".join(rng.choices([*PIECES, "Straße", "中文", "İ" * 40, "Å" * 64 + ".", "w" * 65, "don't", "\u0958" * 60, "b\x1fc"], k=rng.randint(0, 30))) for _ in range(300)]
+    rng.shuffle(texts)
+    expected = []
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        packed, read = np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode()
+        expected.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(read).hexdigest(), packed))
+    for size in (0, 100, 1000, 1 << 22):
+        monkeypatch.setattr(bpe, "GROUP", size)
+        found, alone = [], 0
+        for group, streamed in bpe._groups(pa.array(["skipped", *texts]).slice(1)):
+            alone += streamed
+            found += [bpe._streamed(codec, group[0].as_py(), True)] if streamed else bpe._together(codec, group, True)
+        assert found == expected
+        assert alone == sum(len(t.encode()) > size or "\x1c" in t or "\x1f" in t for t in texts)
+
+
 def test_long_words_are_streamed(codec, library):
     rng = random.Random(4)
     for word in ("a" * 9000, "ab" * 5000, "".join(rng.choices("abcdeiou", k=9000)), "".join(rng.choices("thein", k=9000))):
